@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import langid, media, mixing, quality, syncmers
+from . import langid, media, mixing, quality, syncmers, token_counts, word_bpe
 from .common import documents
 
 
@@ -34,7 +34,22 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_syncmers, op2_mixing, op3_quality, op4_media, op7_langid)}
+def tokenizer_path(name: str) -> str:
+    """Where the installed public vocabularies keep a file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op9_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_bpe.digests(word_bpe.encode(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json")))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_syncmers, op2_mixing, op3_quality, op4_media, op7_langid, op9_word_bpe, op10_token_counts)}
 
 #: Queries whose rows SQL can express too.
 ORACLES: dict[str, str] = {}

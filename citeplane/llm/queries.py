@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import langid, media, mixing, pii, quality, syncmers, token_counts, word_bpe
+from . import jaccard, langid, media, mixing, pii, quality, syncmers, token_counts, word_bpe
 from .common import documents
 
 
@@ -38,6 +38,10 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(documents(spark, sf_dir), words=3, percent=90).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
 def tokenizer_path(name: str) -> str:
     """Where the installed public vocabularies keep a file."""
     import public_tokenizers
@@ -53,7 +57,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_syncmers, op2_mixing, op3_quality, op4_media, op6_pii, op7_langid, op9_word_bpe, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_syncmers, op2_mixing, op3_quality, op4_media, op6_pii, op7_langid, op8_jaccard, op9_word_bpe, op10_token_counts)}
 
 #: Queries whose rows SQL can express too.
 ORACLES: dict[str, str] = {}

@@ -35,14 +35,16 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/citeplane/{name}-{uuid.uuid4().hex}"
 
-    def keep(self, df: DataFrame, table: str) -> DataFrame:
-        """Writes df as Parquet and reads it again; shuffle files that only df needed can then go."""
+    def keep(self, df: DataFrame, table: str, tidy: bool = False) -> DataFrame:
+        """Writes df as Parquet and reads it again. tidy: shuffle files that nothing refers to any more go at once,
+        and not when the driver next happens to collect its garbage."""
         path = f"{self.root}/{table}"
         df.write.mode("overwrite").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        del df
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        if tidy:
+            del df
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
         return out
 
     def drop(self, table: str) -> None:

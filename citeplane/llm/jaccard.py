@@ -172,15 +172,15 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     heads = member.where("doc_id = class_id").select("doc_id")
     parts = signed.join(heads, "doc_id", "left_semi")
     rows = parts.select("doc_id", F.lit(0).cast("byte").alias("part"), F.col("slack0").alias("slack"), F.explode("keys0").alias("key")).union(parts.select("doc_id", F.lit(1).cast("byte").alias("part"), F.col("slack1").alias("slack"), F.explode("keys1").alias("key")))
-    rows = scratch.keep(rows, "rows")
+    rows = scratch.keep(rows, "rows", tidy=True)
     shared = rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "key")
     by_doc = shared.groupBy("doc_id", "part", "slack").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("k"))
     kept = by_doc.where(F.col("slack") + F.size("k") > 0).select("doc_id", F.explode(F.slice("k", F.lit(1), F.least(F.size("k"), F.col("slack") + F.size("k")))).alias("k")).select("doc_id", F.col("k.key").alias("key"))
-    kept = scratch.keep(kept, "kept")
+    kept = scratch.keep(kept, "kept", tidy=True)
     scratch.drop("rows")
     met = scratch.keep(kept.join(kept.groupBy("key").agg(F.count(F.lit(1)).alias("df"), F.min("doc_id").alias("lead")).where("df > 1"), "key").select("key", "doc_id", "lead"), "met")
     ids = met.select("doc_id").distinct()
-    texts = scratch.keep(docs.join(ids.hint("shuffle_hash"), "doc_id", "left_semi"), "texts")
+    texts = scratch.keep(docs.join(ids.hint("shuffle_hash"), "doc_id", "left_semi"), "texts", tidy=True)
     bits = scratch.keep(signed.select("doc_id", "n", *_BIT_NAMES).join(ids.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "bits")
 
     def bounded(pairs: DataFrame) -> DataFrame:
@@ -194,6 +194,8 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
         rooted = met.join(roots, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
         mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key", "low")
         open_ = scratch.keep(rooted.join(mixed, "key"), f"open{turn}")
+        if open_.isEmpty():
+            return _rooted(signed, member, roots)
         if turn <= ROUNDS:
             pick = F.min_by if turn % 2 else F.max_by
             best = open_.groupBy("key", "root", "low").agg(pick("doc_id", F.xxhash64(F.lit(turn), "key", "doc_id")).alias("doc_id"))
@@ -206,6 +208,9 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
             pairs = x.join(y.withColumnRenamed("key", "key_b"), (F.col("key") == F.col("key_b")) & (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & _may_link(percent)).select("a", "b").distinct()
         more = scratch.keep(_verify(pairs, texts, words, percent), f"links-{turn}")
         links = links.unionByName(more)
-    roots = components(links, scratch, "roots")
+    return _rooted(signed, member, components(links, scratch, "roots"))
+
+
+def _rooted(signed: DataFrame, member: DataFrame, roots: DataFrame) -> DataFrame:
     out = signed.select("doc_id", F.col("n").alias("n_shingles")).join(member, "doc_id", "left").join(roots, F.col("class_id") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("root", "class_id", "doc_id").alias("component_id"))

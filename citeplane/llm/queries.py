@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import jaccard, langid, media, mixing, pii, quality, syncmers, token_counts, word_bpe
+from . import jaccard, langid, media, mixing, pii, quality, suffix_dedup, syncmers, token_counts, word_bpe
 from .common import documents
 
 
@@ -28,6 +28,10 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.media_columns(documents(spark, sf_dir)))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(suffix_dedup.dedup(documents(spark, sf_dir)))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find(documents(spark, sf_dir)))
 
@@ -57,7 +61,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_syncmers, op2_mixing, op3_quality, op4_media, op6_pii, op7_langid, op8_jaccard, op9_word_bpe, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_syncmers, op2_mixing, op3_quality, op4_media, op5_suffix_dedup, op6_pii, op7_langid, op8_jaccard, op9_word_bpe, op10_token_counts)}
 
 #: Queries whose rows SQL can express too.
 ORACLES: dict[str, str] = {}

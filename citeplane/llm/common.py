@@ -76,11 +76,43 @@ def texts_of(batch: pa.RecordBatch, text: str = "text") -> list[str]:
 
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash, over a uint64 array."""
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-    return x ^ (x >> np.uint64(33))
+    t = x >> np.uint64(31)
+    t ^= x
+    t *= np.uint64(0x7FB5D329728EA185)
+    u = t >> np.uint64(27)
+    t ^= u
+    t *= np.uint64(0x81DADEF4BC2DD44D)
+    np.right_shift(t, np.uint64(33), out=u)
+    t ^= u
+    return t
 
 
 def table_of(seed: int, n: int) -> np.ndarray:
     """n fixed random 64-bit values."""
     return np.random.Generator(np.random.PCG64(seed)).integers(0, 2**64, n, dtype=np.uint64)
+
+
+class Polynomial:
+    """Hashes of substrings of a byte array from prefix sums, modulo 2^64: an odd base has an inverse."""
+
+    base = 0x9E3779B97F4A7C15
+    _bytes = table_of(5, 256)
+    _tables: list[np.ndarray] = []
+
+    @classmethod
+    def powers(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Powers of the base and of its inverse, at least n of them."""
+        if not cls._tables or len(cls._tables[0]) < n:
+            cls._tables = []
+            for x in (cls.base, pow(cls.base, -1, 1 << 64)):
+                out = np.full(max(n, 1 << 16), x, np.uint64)
+                out[0] = 1
+                cls._tables.append(np.multiply.accumulate(out))
+        return cls._tables[0], cls._tables[1]
+
+    @classmethod
+    def prefixes(cls, data: np.ndarray) -> np.ndarray:
+        """S with S[i] the polynomial of the first i bytes; (S[b] - S[a]) * inverse^a is the hash of bytes a to b."""
+        out = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(cls._bytes[data] * cls.powers(len(data) + 1)[0][: len(data)], out=out[1:])
+        return out

@@ -26,9 +26,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from xxhash import xxh3_64_intdigest
 
-from .common import Scratch, mix64, shuffle_partitions, slices, texts_of
+from .common import Polynomial, Scratch, mix64, slices, texts_of
 from .graph_components import components
 
 WORDS, PERCENT = 5, 80
@@ -39,18 +38,34 @@ ROUNDS = 2
 _B = np.uint64(0x9E3779B97F4A7C15)
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """Hashes of the words between ASCII white space, A-Z in lower case."""
+    data = np.frombuffer(text.encode().lower(), np.uint8)
+    space = np.ones(len(data) + 2, bool)
+    space[1:-1] = _SPACE[data]
+    edge = np.flatnonzero(space[1:] != space[:-1])
+    start, end = edge[::2], edge[1::2]
+    s = Polynomial.prefixes(data)
+    return mix64((s[end] - s[start]) * Polynomial.powers(len(data) + 1)[1][start] + (end - start).astype(np.uint64))
+
+
 def shingles(text: str, words: int) -> np.ndarray:
-    """Sorted distinct hashes of the shingles: A-Z in lower case, words between ASCII white space."""
-    found = text.encode().lower().split()
-    n = len(found)
+    """Sorted distinct hashes of the shingles."""
+    each = word_hashes(text)
+    n = len(each)
     if not n:
         return np.empty(0, np.uint64)
-    each = np.fromiter(map(xxh3_64_intdigest, found), np.uint64, n)
     size = min(words, n)
     acc = np.full(n - size + 1, size, np.uint64)
     for k in range(size):
-        acc = mix64(acc * _B + each[k : n - size + 1 + k])
-    return np.unique(acc)
+        acc = acc * _B + each[k : n - size + 1 + k]
+    acc = mix64(acc)
+    acc.sort()
+    return acc[np.append(True, acc[1:] != acc[:-1])]
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -80,8 +95,9 @@ def tile_keys(set_: np.ndarray, sums: np.ndarray, b: int, percent: int) -> tuple
     """
     m = buckets(b, percent)
     edges = np.searchsorted(set_, np.array([(j << 64) // m for j in range(m)], np.uint64)) if m < 64 else np.searchsorted(set_ >> np.uint64(32), (np.arange(m, dtype=np.uint64) << np.uint64(32)) // np.uint64(m))
-    content = np.diff(sums[np.append(edges, len(set_))])
-    full = np.diff(np.append(edges, len(set_))) > 0
+    at = sums[edges]
+    content = np.append(at[1:], sums[-1]) - at
+    full = np.append(edges[1:], len(set_)) > edges
     keys = mix64(content * _B + (np.arange(m, dtype=np.uint64) << np.uint64(8)) + np.uint64(b))
     need, empty = min(differences(len(set_), percent) + 1, m - 1), int(m - full.sum())
     if m - need - empty < 0:

@@ -27,33 +27,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch, mix64, shuffle_partitions, slices, table_of
+from .common import Polynomial, Scratch, mix64, shuffle_partitions, slices
 
 SIZE, GRAM, PIECE, GROUP = 100, 32, 1 << 20, 4096
 _SPAN = SIZE - GRAM + 1
-_BYTES = table_of(5, 256)
-_BASE = 0x9E3779B97F4A7C15
 _FIRST = -(1 << 63)
-_POWERS: list[np.ndarray] = []
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64, at least n of them."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        _POWERS.clear()
-        for x in (_BASE, pow(_BASE, -1, 1 << 64)):
-            out = np.full(max(n, PIECE + SIZE + 1), x, np.uint64)
-            out[0] = 1
-            _POWERS.append(np.multiply.accumulate(out))
-    return _POWERS[0], _POWERS[1]
-
-
-def prefix_hashes(data: np.ndarray) -> np.ndarray:
-    """S with S[i] the polynomial of the first i bytes; (S[b] - S[a]) * inverse^a is the hash of bytes a to b."""
-    up, _ = powers(len(data) + 1)
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTES[data] * up[: len(data)], out=out[1:])
-    return out
+powers, prefix_hashes = Polynomial.powers, Polynomial.prefixes
 
 
 def anchors(data: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -145,7 +126,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc = np.concatenate(docs)
         again = _repeats([gram, region], doc, first)
         d, s, e = _doc_spans(doc[again], first[again], first[again] + more[again] + SIZE)
-        yield _batch(mix64(d.astype(np.uint64) * np.uint64(_BASE) + s.astype(np.uint64)), np.ones(len(d)), e, d, s)
+        yield _batch(mix64(d.astype(np.uint64) * np.uint64(Polynomial.base) + s.astype(np.uint64)), np.ones(len(d)), e, d, s)
         on = ~again
         yield _batch(gram[on], np.zeros(on.sum()), region[on], doc[on], first[on] << 14 | more[on] << 7 | place[on])
 

@@ -7,7 +7,8 @@ soft steps, so that each statistic may act in either direction) minimises
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))
 
 with the logistic loss; where the second term is negative its gradient is followed upwards, as the non-negative
-estimator asks. Both sets are bounded samples (TRAIN_ROWS each, by hash of doc_id); scoring covers all rows and texts.
+estimator asks. Both sets are bounded samples (TRAIN_ROWS each, by hash of doc_id); scoring covers all rows and texts. The ids of
+the sampled positives, as many as that bound, are broadcast, so no text is shuffled.
 
 Defined cases: null and empty text have the statistics 0 and get a score like any other; without positives or
 unlabelled text every score is the prior; repeated rows score alike; labels with null quality are not learned; other
@@ -130,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed, rows: int = TRAIN_ROWS) -
     turn = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 20))
     few = lambda most, of: turn < int(min(1.0, most / max(1, of)) * (1 << 20)) + 1
     trusted = known.where((F.col("quality") == 1) & few(rows, n["p"])).select("doc_id", F.lit(True).alias("trusted"))
-    chosen = docs.select("doc_id", "text").where(allowed).join(trusted, "doc_id", "left").where(F.col("trusted") | few(rows, total))
+    chosen = docs.select("doc_id", "text").where(allowed).join(F.broadcast(trusted), "doc_id", "left").where(F.col("trusted") | few(rows, total))
     got = features_of(chosen.withColumn("free", few(rows, total)), "trusted", "free").collect()
     x = np.array([r["x"] for r in got]).reshape(-1, len(NAMES))
     return fit(x[[bool(r["trusted"]) for r in got]], x[[bool(r["free"]) for r in got]], n["p"] / n["n"])

@@ -129,6 +129,7 @@ def derive_all(rules: list[Rule], claims: DataFrame) -> DataFrame:
 def replay(recorded: DataFrame, rule: Rule, claims: DataFrame) -> DataFrame:
     """Recorded derivations (case_id, value, inputs) that deriving again does not give, with the code."""
     again = derive(rule, claims).select("case_id", F.col("status").alias("_status"), F.col("value").alias("_value"), F.col("inputs").alias("_inputs"))
-    both = recorded.join(again, "case_id", "full_outer")
-    code = F.when(F.col("value").isNull() & (F.coalesce("_status", F.lit("")) == "answered"), "missing").when(F.coalesce("_status", F.lit("")) != "answered", "not_derivable").when(F.col("inputs") != F.col("_inputs"), "input_mismatch").when(~F.col("value").eqNullSafe(F.col("_value")), "value_mismatch")
-    return both.select("case_id", code.alias("code")).where("code IS NOT NULL AND NOT (code = 'not_derivable' AND case_id IS NULL)")
+    both = recorded.withColumn("_recorded", F.lit(True)).join(again, "case_id", "full_outer")
+    answered = F.coalesce(F.col("_status") == "answered", F.lit(False))
+    code = F.when(F.col("_recorded").isNull(), F.when(answered, "missing")).when(~answered, "not_derivable").when(F.col("inputs") != F.col("_inputs"), "input_mismatch").when(~F.col("value").eqNullSafe(F.col("_value")), "value_mismatch")
+    return both.select("case_id", code.alias("code")).where("code IS NOT NULL")

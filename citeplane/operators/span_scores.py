@@ -9,19 +9,23 @@ from __future__ import annotations
 from collections import deque
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import spans as sp
+from ..sources.scratch import Scratch
 
 GROUP = ["case_id", "source_id", "mention_type"]
 
 
 def distinct_spans(spans: DataFrame) -> DataFrame:
-    """One row for each side and position; the values of each attribute category are united."""
+    """One row for each side and position; the values of each attribute category are united.
+
+    Every metric reads these rows, so they are written once.
+    """
     base = spans.select("side", *GROUP, "pieces").distinct()
     values = spans.select("side", *GROUP, "pieces", F.explode("attributes").alias("a")).groupBy("side", *GROUP, "pieces", F.col("a.category").alias("category")).agg(F.array_sort(F.collect_set("a.value")).alias("values"))
     merged = values.groupBy("side", *GROUP, "pieces").agg(F.array_sort(F.collect_list(F.struct("category", "values"))).alias("attributes"))
-    return base.join(merged, ["side", *GROUP, "pieces"], "left")
+    return Scratch(spans.sparkSession, "spans").keep(base.join(merged, ["side", *GROUP, "pieces"], "left"), "distinct")
 
 
 def overlap_edges(spans: DataFrame, width: int = 4096) -> DataFrame:
@@ -83,13 +87,22 @@ def maximum_matching(edges: list[tuple[int, int]]) -> int:
 
 
 def lenient_hits(spans: DataFrame) -> DataFrame:
-    """Matched spans of each group (hits). Groups are single types in single sources, so small; edges are made natively."""
+    """Matched spans of each group (hits).
+
+    A pair neither of whose spans overlaps another is matched as it is, natively; only what is left of a group, a
+    single type in a single source, is matched in Python.
+    """
     edges = overlap_edges(spans).select(*GROUP, F.xxhash64("pred_pieces").alias("a"), F.xxhash64("gold_pieces").alias("b"))
+    for end in "ab":
+        edges = edges.withColumn(f"{end}_degree", F.count(F.lit(1)).over(Window.partitionBy(*GROUP, end)))
+    alone = (F.col("a_degree") == 1) & (F.col("b_degree") == 1)
 
     def match(rows: pd.DataFrame) -> pd.DataFrame:
         return rows[GROUP].head(1).assign(hits=maximum_matching(list(zip(rows["a"].tolist(), rows["b"].tolist()))))
 
-    return edges.groupBy(*GROUP).applyInPandas(match, "case_id string, source_id string, mention_type string, hits long")
+    sure = edges.where(alone).groupBy(*GROUP).agg(F.count(F.lit(1)).alias("hits"))
+    rest = edges.where(~alone).groupBy(*GROUP).applyInPandas(match, "case_id string, source_id string, mention_type string, hits long")
+    return sure.unionByName(rest).groupBy(*GROUP).agg(F.sum("hits").alias("hits"))
 
 
 def strict_hits(spans: DataFrame) -> DataFrame:
@@ -114,9 +127,16 @@ def ratio_metrics(counts: DataFrame, prefix: str) -> DataFrame:
     parts = F.array(F.struct(whole[0], F.col("tp").alias("num"), F.col("p").alias("den")), F.struct(whole[1], F.col("tp").alias("num"), F.col("g").alias("den")), F.struct(whole[2], (2 * F.col("tp")).alias("num"), (F.col("p") + F.col("g")).alias("den")))
     long = sums.select("all", "mention_type", F.explode(parts).alias("x")).select("all", "mention_type", "x.*")
     name = F.when(F.col("all") == 1, F.concat_ws("_", F.lit(prefix), "ratio")).otherwise(F.concat(F.lit(f"{prefix}_"), "ratio", F.lit(":"), "mention_type"))
-    micro = long.select(name.alias("name"), F.coalesce("num", F.lit(0)).cast("double").alias("numerator"), F.coalesce("den", F.lit(0)).cast("long").alias("denominator"))
-    macro = long.where("all = 0").withColumn("v", F.try_divide("num", "den")).groupBy("ratio").agg(F.coalesce(F.sum("v"), F.lit(0.0)).alias("numerator"), F.count("v").alias("denominator"))
-    return micro.unionByName(macro.select(F.concat(F.lit(f"{prefix}_macro_"), "ratio").alias("name"), "numerator", "denominator"))
+    item = F.struct(name.alias("name"), F.coalesce("num", F.lit(0)).cast("double").alias("numerator"), F.coalesce("den", F.lit(0)).cast("long").alias("denominator"), "all", "ratio")
+    listed = long.agg(F.collect_list(item).alias("x"))  # a few rows for each mention type
+
+    def macro(ratio: str):
+        defined = F.filter("x", lambda i: (i["all"] == 0) & (i["ratio"] == ratio) & (i["denominator"] > 0))
+        total = F.aggregate(F.transform(defined, lambda i: i["numerator"] / i["denominator"]), F.lit(0.0), lambda acc, v: acc + v)
+        return F.struct(F.lit(f"{prefix}_macro_{ratio}").alias("name"), total.alias("numerator"), F.size(defined).cast("long").alias("denominator"))
+
+    micro = F.transform("x", lambda i: F.struct(i["name"].alias("name"), i["numerator"].alias("numerator"), i["denominator"].alias("denominator")))
+    return listed.select(F.explode(F.concat(micro, F.array(*map(macro, ("precision", "recall", "f1"))))).alias("m")).select("m.*")
 
 
 def attribute_accuracy(spans: DataFrame) -> DataFrame:

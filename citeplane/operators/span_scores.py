@@ -122,21 +122,27 @@ def ratio_metrics(counts: DataFrame, prefix: str) -> DataFrame:
 
     Macro is the sum of the defined per-type ratios over their number.
     """
-    sums = counts.cube("mention_type").agg(F.grouping("mention_type").alias("all"), F.sum("tp").alias("tp"), F.sum("predicted").alias("p"), F.sum("gold").alias("g"))
-    whole = [F.lit(r).alias("ratio") for r in ("precision", "recall", "f1")]
-    parts = F.array(F.struct(whole[0], F.col("tp").alias("num"), F.col("p").alias("den")), F.struct(whole[1], F.col("tp").alias("num"), F.col("g").alias("den")), F.struct(whole[2], (2 * F.col("tp")).alias("num"), (F.col("p") + F.col("g")).alias("den")))
-    long = sums.select("all", "mention_type", F.explode(parts).alias("x")).select("all", "mention_type", "x.*")
-    name = F.when(F.col("all") == 1, F.concat_ws("_", F.lit(prefix), "ratio")).otherwise(F.concat(F.lit(f"{prefix}_"), "ratio", F.lit(":"), "mention_type"))
-    item = F.struct(name.alias("name"), F.coalesce("num", F.lit(0)).cast("double").alias("numerator"), F.coalesce("den", F.lit(0)).cast("long").alias("denominator"), "all", "ratio")
-    listed = long.agg(F.collect_list(item).alias("x"))  # a few rows for each mention type
+    per = counts.groupBy("mention_type").agg(F.sum("tp").alias("tp"), F.sum("predicted").alias("p"), F.sum("gold").alias("g"))
+    listed = per.agg(F.collect_list(F.struct("mention_type", "tp", "p", "g")).alias("x"))  # one row for each mention type
+    sums = [F.aggregate("x", F.lit(0).cast("long"), _adder(k)).alias(k) for k in ("tp", "p", "g")]
+    total = F.struct(F.lit(None).cast("string").alias("mention_type"), *sums)
+    parts = {"precision": lambda i: (i["tp"], i["p"]), "recall": lambda i: (i["tp"], i["g"]), "f1": lambda i: (2 * i["tp"], i["p"] + i["g"])}
 
-    def macro(ratio: str):
-        defined = F.filter("x", lambda i: (i["all"] == 0) & (i["ratio"] == ratio) & (i["denominator"] > 0))
-        total = F.aggregate(F.transform(defined, lambda i: i["numerator"] / i["denominator"]), F.lit(0.0), lambda acc, v: acc + v)
-        return F.struct(F.lit(f"{prefix}_macro_{ratio}").alias("name"), total.alias("numerator"), F.size(defined).cast("long").alias("denominator"))
+    def metric(name, numerator, denominator):
+        return F.struct(name.alias("name"), numerator.cast("double").alias("numerator"), denominator.cast("long").alias("denominator"))
 
-    micro = F.transform("x", lambda i: F.struct(i["name"].alias("name"), i["numerator"].alias("numerator"), i["denominator"].alias("denominator")))
-    return listed.select(F.explode(F.concat(micro, F.array(*map(macro, ("precision", "recall", "f1"))))).alias("m")).select("m.*")
+    def rows(ratio: str):
+        part = parts[ratio]
+        each = F.transform(F.concat(F.array(total), F.col("x")), lambda i: metric(F.concat(F.lit(f"{prefix}_{ratio}"), F.coalesce(F.concat(F.lit(":"), i["mention_type"]), F.lit(""))), *part(i)))
+        defined = F.filter("x", lambda i: part(i)[1] > 0)
+        value = F.aggregate(defined, F.lit(0.0), lambda acc, i: acc + part(i)[0] / part(i)[1])
+        return F.concat(each, F.array(metric(F.lit(f"{prefix}_macro_{ratio}"), value, F.size(defined))))
+
+    return listed.select(F.explode(F.concat(*map(rows, parts))).alias("m")).select("m.*")
+
+
+def _adder(key: str):
+    return lambda acc, i: acc + i[key]
 
 
 def attribute_accuracy(spans: DataFrame) -> DataFrame:
@@ -147,8 +153,11 @@ def attribute_accuracy(spans: DataFrame) -> DataFrame:
     mine = each.where("side = 'pred'").select(*GROUP, "pieces", "category", "value")
     scored = gold.join(strict, [*GROUP, "pieces"]).join(mine, [*GROUP, "pieces", "category"], "left")
     right = F.coalesce(F.col("value") == F.col("expected"), F.lit(False)).cast("long")
-    sums = scored.cube("category").agg(F.grouping("category").alias("all"), F.sum(right).alias("n"), F.count(F.lit(1)).alias("d"))
-    return sums.select(F.when(F.col("all") == 1, "attribute_accuracy").otherwise(F.concat(F.lit("attribute_accuracy:"), "category")).alias("name"), F.coalesce("n", F.lit(0)).cast("double").alias("numerator"), F.col("d").alias("denominator"))
+    per = scored.groupBy("category").agg(F.sum(right).alias("n"), F.count(F.lit(1)).alias("d"))
+    listed = per.agg(F.collect_list(F.struct(F.concat(F.lit(":"), "category").alias("category"), "n", "d")).alias("x"))
+    whole = F.struct(F.lit("").alias("category"), *(F.aggregate("x", F.lit(0).cast("long"), _adder(k)).alias(k) for k in "nd"))
+    each = listed.select(F.explode(F.concat(F.array(whole), "x")).alias("m")).select("m.*")
+    return each.select(F.concat(F.lit("attribute_accuracy"), "category").alias("name"), F.col("n").cast("double").alias("numerator"), F.col("d").alias("denominator"))
 
 
 def span_metrics(spans: DataFrame) -> DataFrame:

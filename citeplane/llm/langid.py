@@ -49,9 +49,9 @@ def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Feature of each n-gram of the batch, where each document starts, and which documents have a letter."""
     if not _TABLE:
         _TABLE.append(_letters())
-    joined = "  ".join(texts) + "    "  # the last document too has two n-grams that start behind it
+    joined = "".join([f"  {t}  " for t in texts]) + "  "  # no n-gram that a document starts reaches another's letters
     c = _TABLE[0][np.frombuffer(joined.encode("utf-32-le"), np.uint32)]
-    starts = np.cumsum([0, *(len(t) + 2 for t in texts[:-1])])
+    starts = np.cumsum([0, *(len(t) + 4 for t in texts[:-1])])
     lettered = np.add.reduceat(c[:-1] != 32, starts) > 0
     two = c[:-2] * np.uint32(0x9E3779B1) + c[1:-1] * np.uint32(0x85EBCA6B)
     three = two * np.uint32(0xC2B2AE35) + c[2:] * np.uint32(0x27D4EB2F) + np.uint32(0x165667B1)

@@ -135,7 +135,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
         state = scratch.keep(state, f"round{turn}")
         fraction = (F.col("p") > EPS) & (F.col("p") < 1 - EPS)
         done.append(state.where(~fraction))
-        most, turn = math.ceil(2 * most / block), turn + 1
+        most, turn = min(most - 1, math.ceil(2 * most / block)), turn + 1  # fewer blocks in each round
         state = state.where(fraction).withColumn("block", F.pmod(F.xxhash64(F.lit(22 + turn), "doc_id"), F.lit(max(1, most))).cast("int"))
     out = done[0]
     for more in done[1:]:

@@ -185,15 +185,15 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     proper = signed.where("n > 0 AND doc_id IS NOT NULL")
     classes = proper.groupBy("h1", "h2").agg(F.min("doc_id").alias("class_id"))
     member = scratch.keep(proper.select("doc_id", "h1", "h2").join(classes, ["h1", "h2"]).select("doc_id", "class_id").distinct(), "member")
-    heads = member.where("doc_id = class_id").select("doc_id")
-    parts = signed.join(heads, "doc_id", "left_semi")
+    copies = scratch.keep(member.where("doc_id <> class_id").select("doc_id").distinct(), "copies")
+    parts = signed.where("doc_id IS NOT NULL").join(copies, "doc_id", "left_anti")  # Spark broadcasts the ids while they are few
     rows = parts.select("doc_id", F.lit(0).cast("byte").alias("part"), F.col("slack0").alias("slack"), F.explode("keys0").alias("key")).union(parts.select("doc_id", F.lit(1).cast("byte").alias("part"), F.col("slack1").alias("slack"), F.explode("keys1").alias("key")))
-    rows = scratch.keep(rows, "rows", tidy=True)
-    shared = rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "key")
+    common = scratch.keep(rows.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "common", tidy=True)
+    shared = rows.join(common, "key")
     by_doc = shared.groupBy("doc_id", "part", "slack").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("k"))
     kept = by_doc.where(F.col("slack") + F.size("k") > 0).select("doc_id", F.explode(F.slice("k", F.lit(1), F.least(F.size("k"), F.col("slack") + F.size("k")))).alias("k")).select("doc_id", F.col("k.key").alias("key"))
     kept = scratch.keep(kept, "kept", tidy=True)
-    scratch.drop("rows")
+    scratch.drop("common")
     met = scratch.keep(kept.join(kept.groupBy("key").agg(F.count(F.lit(1)).alias("df"), F.min("doc_id").alias("lead")).where("df > 1"), "key").select("key", "doc_id", "lead"), "met")
     ids = met.select("doc_id").distinct()
     texts = scratch.keep(docs.join(ids.hint("shuffle_hash"), "doc_id", "left_semi"), "texts", tidy=True)

@@ -31,7 +31,7 @@ from .common import Polynomial, Scratch, mix64, slices, texts_of
 from .graph_components import components
 
 WORDS, PERCENT = 5, 80
-BITS = 1024
+BITS = 2048
 _LANES = BITS // 64
 #: Rounds in which representatives of components are compared, before all remaining pairs are.
 ROUNDS = 2

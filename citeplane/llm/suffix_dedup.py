@@ -8,14 +8,15 @@ slice, and then over all rows of an anchor. What remains are the earliest member
 
 Their regions are cut from the texts and sorted as suffixes, one for each window: prefix polynomial hashes give the hash
 of any substring, binary search finds the common extension of two suffixes in a logarithmic number of comparisons, and a
-merge sort uses it as its order, ties by (doc_id, start). Neighbours that agree in SIZE bytes by hash are verified byte
+merge sort uses it as its order, ties by (doc_id, text, start). Neighbours that agree in SIZE bytes by hash are verified byte
 by byte; where that fails, the block is sorted by its bytes. Of equal windows all but the first are removed. An anchor
 with more than GROUP classes is not gathered in one task: its windows are dealt out by their own hash instead, after the
 same reduction within slices.
 
-Defined cases: null text is empty; texts of fewer than SIZE bytes lose nothing; rows of equal doc_id are taken to be one
-document (a window is never earlier than itself); null doc_id comes before all others; other columns are ignored; an
-empty table gives no rows. Texts longer than PIECE bytes are cut into overlapping pieces of windows.
+Defined cases: null text is empty; texts of fewer than SIZE bytes lose nothing; rows of equal doc_id and text are taken
+to be one document (a window is never earlier than itself), rows of equal or null doc_id with different texts are
+documents in the order of their texts (ver); null doc_id comes before all others; other columns are ignored; an empty
+table gives no rows. Texts longer than PIECE bytes are cut into overlapping pieces of windows.
 """
 
 from __future__ import annotations
@@ -76,12 +77,12 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[new], end[np.append(new[1:], True)]
 
 
-_ROWS = "key long, kind byte, r long, doc long, at long"
-_NAMES = ["key", "kind", "r", "doc", "at"]
+_ROWS = "key long, kind byte, r long, doc long, ver long, at long"
+_NAMES = ["key", "kind", "r", "doc", "ver", "at"]
 
 
-def _batch(key, kind, r, doc, at) -> pa.RecordBatch:
-    arrays = [np.asarray(key).astype(np.uint64).view(np.int64), np.asarray(kind).astype(np.int8), np.asarray(r).astype(np.uint64).view(np.int64) if np.asarray(r).dtype == np.uint64 else np.asarray(r).astype(np.int64), np.asarray(doc).astype(np.int64), np.asarray(at).astype(np.int64)]
+def _batch(key, kind, r, doc, ver, at) -> pa.RecordBatch:
+    arrays = [np.asarray(key).astype(np.uint64).view(np.int64), np.asarray(kind).astype(np.int8), np.asarray(r).astype(np.uint64).view(np.int64) if np.asarray(r).dtype == np.uint64 else np.asarray(r).astype(np.int64), np.asarray(doc).astype(np.int64), np.asarray(ver).astype(np.int64), np.asarray(at).astype(np.int64)]
     return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=_NAMES)
 
 
@@ -107,6 +108,15 @@ def _repeats(keys: list[np.ndarray], doc: np.ndarray, start: np.ndarray) -> np.n
     return out
 
 
+def _ranked(doc: np.ndarray, ver: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rank of each (doc, ver), and doc and ver by rank."""
+    order = np.lexsort((ver, doc))
+    new = np.append(True, (doc[order][1:] != doc[order][:-1]) | (ver[order][1:] != ver[order][:-1]))[: len(order)]
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    return rank, doc[order][new], ver[order][new]
+
+
 def _ids(column: pa.Array) -> np.ndarray:
     return np.asarray(pc.fill_null(column.cast(pa.int64()), _FIRST), dtype=np.int64)
 
@@ -115,7 +125,8 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Kind 0: an anchor's run of windows, the earliest with its region in the slice. Kind 1: a removed span (at, r)."""
     for batch in slices(batches):
         found, docs = [], []
-        for doc, text in zip(_ids(batch.column("doc_id")).tolist(), batch.column("text").cast(pa.binary()).to_pylist()):
+        rank, own, vers = _ranked(_ids(batch.column("doc_id")), batch.column("ver").to_numpy())
+        for doc, text in zip(rank.tolist(), batch.column("text").cast(pa.binary()).to_pylist()):
             for offset, data in pieces(text or b""):
                 gram, region, first, last, at = anchors(data)
                 found.append((gram, region, first + offset, last - first, at - first))
@@ -126,51 +137,52 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc = np.concatenate(docs)
         again = _repeats([gram, region], doc, first)
         d, s, e = _doc_spans(doc[again], first[again], first[again] + more[again] + SIZE)
-        yield _batch(mix64(d.astype(np.uint64) * np.uint64(Polynomial.base) + s.astype(np.uint64)), np.ones(len(d)), e, d, s)
+        yield _batch(mix64(own[d].astype(np.uint64) * np.uint64(Polynomial.base) + s.astype(np.uint64)), np.ones(len(d)), e, own[d], vers[d], s)
         on = ~again
-        yield _batch(gram[on], np.zeros(on.sum()), region[on], doc[on], first[on] << 14 | more[on] << 7 | place[on])
+        yield _batch(gram[on], np.zeros(on.sum()), region[on], own[doc[on]], vers[doc[on]], first[on] << 14 | more[on] << 7 | place[on])
 
 
 def _class_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (kind, key, r, doc, at): members after the earliest of a class become spans; the earliest ones of an
+    """Rows sorted by (kind, key, r, doc, ver, at): members after the earliest of a class become spans; the earliest ones of an
     anchor with more than one class go on. Only the last row and the earliest one of its class wait for the next batch."""
-    held = None  # key, r, doc, at of the earliest member of the open class; whether its anchor has an earlier class
+    held = None  # key, r, doc, ver, at of the earliest member of the open class; whether its anchor has an earlier class
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, kind, r, doc, at = (batch.column(c).to_numpy() for c in _NAMES)
+        key, kind, r, doc, ver, at = (batch.column(c).to_numpy() for c in _NAMES)
         spans = kind == 1
         if spans.any():
-            yield _batch(key[spans], np.ones(spans.sum()), r[spans], doc[spans], at[spans])
-        key, r, doc, at = (x[~spans] for x in (key, r, doc, at))
+            yield _batch(key[spans], np.ones(spans.sum()), r[spans], doc[spans], ver[spans], at[spans])
+        key, r, doc, ver, at = (x[~spans] for x in (key, r, doc, ver, at))
         if not len(key):
             continue
         before = False
         if held:
-            key, r, doc, at = (np.append(h, x) for h, x in zip(held, (key, r, doc, at)))
-            before = held[4]
+            key, r, doc, ver, at = (np.append(h, x) for h, x in zip(held, (key, r, doc, ver, at)))
+            before = held[5]
         new_key = np.append(True, key[1:] != key[:-1])
         new = new_key | np.append(True, r[1:] != r[:-1])
         head = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-        again = (doc != doc[head]) | (at >> 14 != at[head] >> 14)
-        yield _batch(key[again], np.ones(again.sum()), (at[again] >> 14) + (at[again] >> 7 & 127) + SIZE, doc[again], at[again] >> 14)
+        again = (doc != doc[head]) | (ver != ver[head]) | (at >> 14 != at[head] >> 14)
+        yield _batch(key[again], np.ones(again.sum()), (at[again] >> 14) + (at[again] >> 7 & 127) + SIZE, doc[again], ver[again], at[again] >> 14)
         heads = np.flatnonzero(new)
         earlier = ~new_key[heads]
         earlier[0] |= before
         follows = np.append(~new_key[heads[1:]], False)
         last = heads[-1]
-        held = key[last], r[last], doc[last], at[last], bool(earlier[-1])
+        held = key[last], r[last], doc[last], ver[last], at[last], bool(earlier[-1])
         go = heads[:-1][(earlier | follows)[:-1]]
-        yield _batch(key[go], np.zeros(len(go)), np.zeros(len(go)), doc[go], at[go])
-    if held and held[4]:
-        yield _batch(*([x] for x in (held[0], 0, 0, held[2], held[3])))
+        yield _batch(key[go], np.zeros(len(go)), np.zeros(len(go)), doc[go], ver[go], at[go])
+    if held and held[5]:
+        yield _batch(*([x] for x in (held[0], 0, 0, held[2], held[3], held[4])))
 
 
-_REGIONS = "key long, doc long, start long, place int, region binary"
+_REGIONS = "key long, doc long, ver long, start long, place int, region binary"
 
 
-def _spans_batch(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (doc, start, end)], names=["doc", "start", "end"])
+def _spans_batch(own: np.ndarray, vers: np.ndarray, doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    """Spans of documents by rank, with the ids and versions of the ranks."""
+    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (own[doc], vers[doc], start, end)], names=["doc", "ver", "start", "end"])
 
 
 def _region_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +191,8 @@ def _region_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         key, doc, start, place, region = [], [], [], [], []
         crowd: list[tuple[int, int, bytes]] = []
-        for d, text, found in zip(_ids(batch.column("doc_id")).tolist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("runs").to_pylist()):
+        rank, own, vers = _ranked(_ids(batch.column("doc_id")), batch.column("ver").to_numpy())
+        for d, text, found in zip(rank.tolist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("runs").to_pylist()):
             for run in found:
                 first, more = run["at"] >> 14, run["at"] >> 7 & 127
                 if run["crowded"]:
@@ -199,7 +212,7 @@ def _region_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             place.append(-1 if window in seen else 0)
             region.append(b"" if window in seen else window)
             seen.add(window)
-        yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(place, pa.int32()), pa.array(region, pa.binary())], names=["key", "doc", "start", "place", "region"])
+        yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(own[np.array(doc, np.int64)]), pa.array(vers[np.array(doc, np.int64)]), pa.array(start, pa.int64()), pa.array(place, pa.int32()), pa.array(region, pa.binary())], names=["key", "doc", "ver", "start", "place", "region"])
 
 
 class Suffixes:
@@ -312,15 +325,16 @@ def repeated_windows(key: np.ndarray, doc: np.ndarray, start: np.ndarray, place:
 
 def _sorted_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by key: spans of repeated windows, for whole keys at a time."""
-    names = ["key", "doc", "start", "place", "region"]
+    names = ["key", "doc", "ver", "start", "place", "region"]
     held: list[np.ndarray] | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        now = [batch.column(c).to_numpy() for c in names[:4]] + [np.array(batch.column("region").to_pylist(), object)]
-        copies = now[3] < 0
+        now = [batch.column(c).to_numpy() for c in names[:5]] + [np.array(batch.column("region").to_pylist(), object)]
+        copies = now[4] < 0
         if copies.any():
-            yield _spans_batch(*_doc_spans(now[1][copies], now[2][copies], now[2][copies] + SIZE))
+            rank, own, vers = _ranked(now[1][copies], now[2][copies])
+            yield _spans_batch(own, vers, *_doc_spans(rank, now[3][copies], now[3][copies] + SIZE))
             now = [x[~copies] for x in now]
         if held is not None:
             now = [np.concatenate([h, x]) for h, x in zip(held, now)]
@@ -346,7 +360,8 @@ def _compared(rows: list[np.ndarray], most: int = PIECE // 200) -> Iterator[pa.R
             b = first if first > a else int(a + np.argmax(np.append(key[a:] != key[a], True)))
         part = [x[a:b] for x in rows]
         if len(part[0]) > 1:
-            yield _spans_batch(*repeated_windows(*part[:4], list(part[4])))
+            rank, own, vers = _ranked(part[1], part[2])
+            yield _spans_batch(own, vers, *repeated_windows(part[0], rank, *part[3:5], list(part[5])))
         a = b
 
 
@@ -368,24 +383,38 @@ def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
+def _versions(docs: DataFrame, scratch: Scratch, n: int) -> DataFrame:
+    """doc_id, text and own (the id, or what stands for none), with ver: the place of the text where texts of one own
+    differ, else 0. Only ids and digests of texts are gathered for it, and the texts of such ids."""
+    docs = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("own"))
+    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    several = docs.groupBy("own").agg(F.min(digest).alias("least"), F.max(digest).alias("most")).where("least <> most").select("own")
+    several = scratch.keep(several, "several", tidy=True)
+    if several.isEmpty():
+        return docs.withColumn("ver", F.lit(0).cast("long"))
+    texts = docs.join(several, "own", "left_semi").select("own", F.coalesce("text", F.lit("")).alias("text")).distinct()
+    texts = texts.repartitionByRange(n, "own", "text").sortWithinPartitions("own", "text")
+    texts = scratch.keep(texts.select("own", digest.alias("digest"), F.monotonically_increasing_id().alias("ver")), "texts", tidy=True)
+    return docs.withColumn("digest", digest).join(texts, ["own", "digest"], "left").select("doc_id", "text", "own", F.coalesce("ver", F.lit(0).cast("long")).alias("ver"))
+
+
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes) of each document."""
     spark = docs.sparkSession
     scratch, n = Scratch(spark, "suffixes"), shuffle_partitions(spark)
-    docs = docs.select("doc_id", "text")
-    rows = docs.mapInArrow(_anchor_rows, _ROWS).repartition(n, "key").sortWithinPartitions("kind", "key", "r", "doc", "at")
+    docs = _versions(docs, scratch, n)
+    rows = docs.select("doc_id", "ver", "text").mapInArrow(_anchor_rows, _ROWS).repartition(n, "key").sortWithinPartitions("kind", "key", "r", "doc", "ver", "at")
     classes = scratch.keep(rows.mapInArrow(_class_rows, _ROWS), "classes", tidy=True)
-    waiting = classes.where("kind = 0").select("key", "doc", "at")
+    waiting = classes.where("kind = 0").select("key", "doc", "ver", "at")
     crowded = waiting.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > GROUP).select("key", F.lit(True).alias("crowded"))
-    runs = waiting.join(crowded, "key", "left").select("doc", F.struct("at", "key", F.coalesce("crowded", F.lit(False)).alias("crowded")).alias("run")).groupBy("doc").agg(F.collect_list("run").alias("runs"))
-    own = F.coalesce(F.col("doc_id"), F.lit(_FIRST))
-    regions = docs.join(runs.hint("shuffle_hash"), own == F.col("doc")).select("doc_id", "text", "runs").mapInArrow(_region_rows, _REGIONS)
+    runs = waiting.join(crowded, "key", "left").select("doc", "ver", F.struct("at", "key", F.coalesce("crowded", F.lit(False)).alias("crowded")).alias("run")).groupBy(F.col("doc").alias("own"), "ver").agg(F.collect_list("run").alias("runs"))
+    regions = docs.join(runs.hint("shuffle_hash"), ["own", "ver"]).select("doc_id", "ver", "text", "runs").mapInArrow(_region_rows, _REGIONS)
     regions = scratch.keep(regions, "regions", tidy=True)
-    late = regions.repartition(n, "key").sortWithinPartitions("key", "doc", "start").mapInArrow(_sorted_rows, "doc long, start long, end long")
+    late = regions.repartition(n, "key").sortWithinPartitions("key", "doc", "ver", "start").mapInArrow(_sorted_rows, "doc long, ver long, start long, end long")
     late = scratch.keep(late, "late", tidy=True)
-    early = classes.where("kind = 1").select("doc", F.col("at").alias("start"), F.col("r").alias("end"))
-    spans = early.unionByName(late).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return docs.join(spans.hint("shuffle_hash"), own == F.col("doc"), "left").select("doc_id", "text", "spans").mapInArrow(_kept_rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    early = classes.where("kind = 1").select("doc", "ver", F.col("at").alias("start"), F.col("r").alias("end"))
+    spans = early.unionByName(late).groupBy(F.col("doc").alias("own"), "ver").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    return docs.join(spans.hint("shuffle_hash"), ["own", "ver"], "left").select("doc_id", "text", "spans").mapInArrow(_kept_rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def digests(kept: DataFrame) -> DataFrame:

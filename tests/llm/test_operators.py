@@ -184,6 +184,21 @@ def test_suffix_edges(edges, nothing):
     assert suffix_dedup.dedup(edges).count() == edges.count() and suffix_dedup.dedup(nothing).count() == 0
 
 
+def test_suffix_shared_ids(spark):
+    """Rows of equal or null doc_id with different texts are documents of their own, in the order of their texts."""
+    rng = random.Random(12)
+    say = lambda n: "".join(rng.choice("abcde ") for _ in range(n))
+    shared, near = say(240), say(300)
+    rows = [(None, "1" + shared + say(90)), (None, "2" + shared + say(400)), (None, "3" + say(300)), (None, "4" + say(20)), (None, None), (7, "5" + shared + say(60)), (7, "6" + say(150) + shared), (7, near[:150] + "#" + near[151:]), (7, near[:150] + "%" + near[151:]), (7, ""), (8, near)]
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0], (r[1] or "").encode()))
+    want = brute_spans([(i, (t or "").encode()) for i, (_, t) in enumerate(rows)], suffix_dedup.SIZE)
+    mixed = rng.sample(rows, len(rows)) + [rows[-1]]
+    got = suffix_dedup.digests(suffix_dedup.dedup(spark.createDataFrame(mixed, "doc_id long, text string").repartition(3))).collect()
+    found = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got)
+    assert found == sorted((str(rows[i][0]), *want[i]) for i in [*range(len(rows)), len(rows) - 1])
+    assert sum(r["n_removed"] for r in got) > 900
+
+
 # 6
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}

@@ -90,7 +90,7 @@ STAND_INS = {
     "claims": "SELECT CAST(p_size AS VARCHAR(8)) AS case_id, CAST(p_partkey AS VARCHAR(20)) AS claim_id, CASE WHEN p_partkey % 3 = 0 THEN 'size' WHEN p_partkey % 3 = 1 THEN 'node' ELSE 'spread' END AS variable, CASE WHEN p_partkey % 3 = 0 THEN CASE WHEN p_size % 3 = 0 THEN 'S1' ELSE 'S2' END WHEN p_partkey % 3 = 1 THEN CASE WHEN (p_size + p_partkey / 1500) % 4 < 1 THEN 'N1' ELSE 'N0' END ELSE 'M0' END AS value, CASE WHEN p_partkey % 4 = 0 THEN 'rejected' ELSE 'proposed' END AS status FROM {part} WHERE p_partkey % 11 = p_size % 11",
     "policies": "SELECT r_regionkey AS dataset, CASE WHEN r_regionkey = 0 THEN 'synthetic' WHEN r_regionkey = 1 THEN 'deidentified' WHEN r_regionkey = 2 THEN 'limited' WHEN r_regionkey = 3 THEN 'phi' ELSE 'other' END AS sensitivity, r_regionkey % 2 = 0 AS no_training FROM {region}",
     "places": "SELECT n_nationkey AS place, CASE WHEN n_nationkey % 4 = 0 THEN 'local' WHEN n_nationkey % 4 = 1 THEN 'institution' WHEN n_nationkey % 4 = 2 THEN 'external_baa' ELSE 'external' END AS zone, n_nationkey % 3 = 0 AS trains, CASE WHEN n_nationkey % 5 = 0 THEN 'labels_only' ELSE 'derived_text' END AS payload FROM {nation}",
-    "history": "SELECT CAST(user_id AS VARCHAR(20)) AS record_id, event_id AS seq, CASE WHEN event_id % 3 = 0 THEN 'adjudicator' ELSE 'reviewer' END AS role, CASE WHEN event_type = 'view' THEN 'verified' WHEN event_type = 'click' THEN 'gold' WHEN event_type = 'purchase' THEN 'rejected' ELSE 'verified' END AS move, CASE WHEN event_id % 2 = 0 THEN 'because' END AS reason, CASE WHEN event_type = 'view' THEN 'silver' WHEN event_type = 'click' THEN 'single_review' ELSE 'adjudicated' END AS tier, CASE WHEN event_type = 'view' THEN 'importer' WHEN event_type = 'click' THEN 'reviewer' ELSE 'adjudicator' END AS tier_role FROM {events} WHERE event_id % 20 < 3",
+    "history": "SELECT CAST(user_id AS VARCHAR(20)) AS record_id, event_id AS seq, CASE WHEN event_id % 3 = 0 THEN 'adjudicator' ELSE 'reviewer' END AS role, CASE WHEN event_type = 'view' THEN 'verified' WHEN event_type = 'click' THEN 'gold' WHEN event_type = 'purchase' THEN 'rejected' ELSE 'verified' END AS move, CASE WHEN event_id % 2 = 0 THEN 'because' END AS reason, CASE WHEN event_type = 'view' THEN 'silver' WHEN event_type = 'click' THEN 'single_review' ELSE 'adjudicated' END AS tier, CASE WHEN event_type = 'view' THEN 'importer' WHEN event_type = 'click' THEN 'reviewer' ELSE 'adjudicator' END AS tier_role FROM {events}",
 }
 
 
@@ -252,9 +252,9 @@ def structural_validity(t: Tables) -> DataFrame:
     return scores.structural_validity(outcomes, t.sql("SELECT DISTINCT user_id, user_id % 3 AS grounding_failures FROM {events}"))
 
 
-@query("""SELECT CAST(user_id AS VARCHAR) AS case_id, CASE min(CASE event_type WHEN 'error' THEN 1 WHEN 'click' THEN 2 WHEN 'signup' THEN 3 WHEN 'view' THEN 4 ELSE 5 END) WHEN 1 THEN 'failed' WHEN 2 THEN 'conflicting_evidence' WHEN 3 THEN 'insufficient_evidence' WHEN 4 THEN 'not_mentioned' ELSE 'answered' END AS status FROM {events} WHERE event_id % 25 = 0 GROUP BY user_id""")
+@query("""SELECT CAST(user_id AS VARCHAR) AS case_id, CASE min(CASE event_type WHEN 'error' THEN 1 WHEN 'click' THEN 2 WHEN 'signup' THEN 3 WHEN 'view' THEN 4 ELSE 5 END) WHEN 1 THEN 'failed' WHEN 2 THEN 'conflicting_evidence' WHEN 3 THEN 'insufficient_evidence' WHEN 4 THEN 'not_mentioned' ELSE 'answered' END AS status FROM {events} GROUP BY user_id""")
 def case_status(t: Tables) -> DataFrame:
-    rows = t.sql("SELECT CAST(user_id AS VARCHAR(20)) AS case_id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'click' THEN 'conflicting_evidence' WHEN 'signup' THEN 'insufficient_evidence' WHEN 'view' THEN 'not_mentioned' ELSE 'answered' END AS status FROM {events} WHERE event_id % 25 = 0")
+    rows = t.sql("SELECT CAST(user_id AS VARCHAR(20)) AS case_id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'click' THEN 'conflicting_evidence' WHEN 'signup' THEN 'insufficient_evidence' WHEN 'view' THEN 'not_mentioned' ELSE 'answered' END AS status FROM {events}")
     return scores.case_status(rows)
 
 
@@ -387,7 +387,7 @@ def tier_machine(t: Tables) -> DataFrame:
 
 def _folded(t: Tables) -> DataFrame:
     """A claim of each event's case that is created, reviewed and adjudicated as event types have it."""
-    e = t["events"].where("event_id % 3 = 0").select(F.col("user_id").cast("string").alias("case_id"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("event_id"), "event_type")
+    e = t["events"].select(F.col("user_id").cast("string").alias("case_id"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("event_id"), "event_type")
     claim = F.concat(F.lit("k"), F.col("case_id"))
     first = e.groupBy("case_id").agg(F.min("event_id").alias("first"))
     e = e.join(first, "case_id").withColumn("new", F.col("event_id") == F.col("first"))
@@ -398,7 +398,7 @@ def _folded(t: Tables) -> DataFrame:
     return e.select("case_id", "event_id", F.lit(None).cast("string").alias("variable"), F.lit("human:a").alias("actor"), role.alias("role"), action.alias("action"), F.when(action.isin("claim.set_status", "adjudication.resolve"), claim).alias("target_id"), F.lit(None).cast("string").alias("before"), after.alias("after"), F.lit(None).cast("string").alias("reason"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS case_id, lpad(CAST(event_id AS VARCHAR), 12, '0') AS event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM {events} WHERE event_id % 3 = 0), s(case_id, i, status, error_event) AS (SELECT case_id, CAST(1 AS BIGINT), 'proposed', CAST(NULL AS VARCHAR) FROM e WHERE i = 1 UNION ALL SELECT s.case_id, e.i, CASE WHEN s.error_event IS NULL AND e.event_type = 'view' AND s.status = 'proposed' THEN 'verified' WHEN s.error_event IS NULL AND e.event_type = 'purchase' AND s.status IN ('proposed', 'verified') THEN 'gold' ELSE s.status END, CASE WHEN s.error_event IS NULL AND ((e.event_type = 'view' AND s.status <> 'proposed') OR (e.event_type = 'purchase' AND s.status NOT IN ('proposed', 'verified'))) THEN e.event_id ELSE s.error_event END FROM s JOIN e ON e.case_id = s.case_id AND e.i = s.i + 1) SELECT case_id, arg_max(status, i) AS status, max(error_event) AS error_event, CASE WHEN max(error_event) IS NOT NULL THEN 'invalid_transition' END AS error_code FROM s GROUP BY case_id""")
+@query("""WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS case_id, lpad(CAST(event_id AS VARCHAR), 12, '0') AS event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM {events}), s(case_id, i, status, error_event) AS (SELECT case_id, CAST(1 AS BIGINT), 'proposed', CAST(NULL AS VARCHAR) FROM e WHERE i = 1 UNION ALL SELECT s.case_id, e.i, CASE WHEN s.error_event IS NULL AND e.event_type = 'view' AND s.status = 'proposed' THEN 'verified' WHEN s.error_event IS NULL AND e.event_type = 'purchase' AND s.status IN ('proposed', 'verified') THEN 'gold' ELSE s.status END, CASE WHEN s.error_event IS NULL AND ((e.event_type = 'view' AND s.status <> 'proposed') OR (e.event_type = 'purchase' AND s.status NOT IN ('proposed', 'verified'))) THEN e.event_id ELSE s.error_event END FROM s JOIN e ON e.case_id = s.case_id AND e.i = s.i + 1) SELECT case_id, arg_max(status, i) AS status, max(error_event) AS error_event, CASE WHEN max(error_event) IS NOT NULL THEN 'invalid_transition' END AS error_code FROM s GROUP BY case_id""")
 def replay_full(t: Tables) -> DataFrame:
     out = replay.replay(_folded(t))
     status = F.get_json_object("state", "$.claims")

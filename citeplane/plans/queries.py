@@ -467,7 +467,7 @@ def pii_emails(t: Tables) -> DataFrame:
     return tx.findings(t["documents"], "text", "doc_id").where("kind = 'email'").select("doc_id").distinct()
 
 
-_DECISIONS = "SELECT CAST(o_orderkey AS VARCHAR(20)) AS decision_id, o_orderdate AS checked_at, o_orderkey % 2 = 0 AS permitted, o_orderstatus AS reason, CAST(NULL AS VARCHAR(5)) AS restriction_id, '1' AS policy_version, 'd' AS destination, 'k' AS destination_kind, 'local' AS zone, 'synthetic' AS sensitivity, 'labels_only' AS payload, CAST(NULL AS VARCHAR(5)) AS dataset, CAST(NULL AS VARCHAR(5)) AS run_id, CAST(o_custkey AS VARCHAR(20)) AS case_id FROM {orders} WHERE o_orderkey % 50 = 0"
+_DECISIONS = "SELECT CAST(o_orderkey AS VARCHAR(20)) AS decision_id, o_orderdate AS checked_at, o_orderkey % 2 = 0 AS permitted, o_orderstatus AS reason, CAST(NULL AS VARCHAR(5)) AS restriction_id, '1' AS policy_version, 'd' AS destination, 'k' AS destination_kind, 'local' AS zone, 'synthetic' AS sensitivity, 'labels_only' AS payload, CAST(NULL AS VARCHAR(5)) AS dataset, CAST(NULL AS VARCHAR(5)) AS run_id, CAST(o_custkey AS VARCHAR(20)) AS case_id FROM {orders}"
 
 
 @query(f"""WITH d AS ({_DECISIONS}), r AS (SELECT decision_id, sha256(concat('{{{{"case_id":"', case_id, '","checked_at":"', strftime(checked_at, '%Y-%m-%dT%H:%M:%S.%f'), 'Z","dataset":null,"decision_id":"', decision_id, '","destination":"d","destination_kind":"k","payload":"labels_only","permitted":', CAST(permitted AS VARCHAR), ',"policy_version":"1","reason":"', reason, '","restriction_id":null,"run_id":null,"sensitivity":"synthetic","zone":"local"}}}}')) AS h FROM d) SELECT CAST(count(*) AS BIGINT) AS "rows", sha256(string_agg(h, chr(10) ORDER BY decision_id)) AS content FROM r""".replace("{{", "{").replace("}}", "}"))
@@ -481,9 +481,9 @@ def exact_copies(t: Tables) -> DataFrame:
     return t["documents"].groupBy(bundles.text_hash(F.col("text")).alias("text_hash")).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
 
 
-@query("""SELECT source AS dataset, lang AS source_id, CAST(count(DISTINCT doc_id % 2) AS BIGINT) AS splits FROM {documents} WHERE doc_id % 40 < 3 GROUP BY source, lang HAVING count(DISTINCT doc_id % 2) > 1""")
+@query("""SELECT source AS dataset, lang AS source_id, CAST(count(DISTINCT doc_id % 2) AS BIGINT) AS splits FROM {documents} GROUP BY source, lang HAVING count(DISTINCT doc_id % 2) > 1""")
 def split_conflicts(t: Tables) -> DataFrame:
-    return cases.split_conflicts(t.sql("SELECT source AS dataset, lang AS source_id, CAST(doc_id % 2 AS VARCHAR(2)) AS split FROM {documents} WHERE doc_id % 40 < 3"))
+    return cases.split_conflicts(t.sql("SELECT source AS dataset, lang AS source_id, CAST(doc_id % 2 AS VARCHAR(2)) AS split FROM {documents}"))
 
 
 @query("""WITH u AS (SELECT user_id, event_id, sum(event_id % 50) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS spent FROM {events}) SELECT event_id, CAST(spent AS BIGINT) AS spent, spent > 400 AS exceeded FROM u""")

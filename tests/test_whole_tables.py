@@ -1,5 +1,7 @@
 """Queries over whole tables: each row that a query's tables hold counts, held against Python over the raw rows."""
 
+import hashlib
+import json
 from collections import defaultdict
 
 from citeplane.plans.queries import QUERIES
@@ -49,3 +51,19 @@ def test_all_events_fold(spark, duck):
     assert {r["record_id"]: (r["status"], r["error_seq"]) for r in QUERIES["status_machine"](spark, SMALL).collect()} == want_status
     assert {r["case_id"]: r["status"] for r in QUERIES["case_status"](spark, SMALL).collect()} == want_case
     assert sorted(r["seq"] for r in QUERIES["tier_machine"](spark, SMALL).collect()) == sorted(e for x in users.values() for e, _ in x)
+
+
+def test_all_orders_hash(spark, duck):
+    lines = []
+    for key, at, customer, status in sorted(rows_of(duck, "SELECT CAST(o_orderkey AS VARCHAR), strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%fZ'), o_custkey, o_orderstatus FROM orders")):
+        row = {"decision_id": key, "checked_at": at, "permitted": int(key) % 2 == 0, "reason": status, "case_id": str(customer), "policy_version": "1", "destination": "d", "destination_kind": "k", "zone": "local", "sensitivity": "synthetic", "payload": "labels_only", "restriction_id": None, "dataset": None, "run_id": None}
+        lines.append(hashlib.sha256(json.dumps(row, sort_keys=True, separators=(",", ":")).encode()).hexdigest())
+    got = QUERIES["content_hash"](spark, SMALL).collect()[0]
+    assert (got["rows"], got["content"]) == (len(lines), hashlib.sha256("\n".join(lines).encode()).hexdigest())
+
+
+def test_all_documents_split(spark, tmp_path):
+    docs = [(5, "a", "en"), (6, "a", "en"), (7, "b", "en"), (9, "b", "en"), (3, "c", "de"), (44, "c", "de")]
+    spark.createDataFrame(docs, "doc_id long, source string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["split_conflicts"](spark, str(tmp_path)).select("dataset", "source_id", "splits").collect()
+    assert sorted(tuple(r) for r in got) == [("a", "en", 2), ("c", "de", 2)]

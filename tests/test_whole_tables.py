@@ -67,3 +67,24 @@ def test_all_documents_split(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, source string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
     got = QUERIES["split_conflicts"](spark, str(tmp_path)).select("dataset", "source_id", "splits").collect()
     assert sorted(tuple(r) for r in got) == [("a", "en", 2), ("c", "de", 2)]
+
+
+def test_all_orders_support(spark, duck):
+    above = {f"n{n}": f"r{r}" for n, r in rows_of(duck, "SELECT n_nationkey, n_regionkey FROM nation")}
+    above |= {f"c{c}": f"n{n}" for c, n in rows_of(duck, "SELECT c_custkey, c_nationkey FROM customer") if c % 17}
+    orders = {f"o{o}": f"c{c}" for o, c in rows_of(duck, "SELECT o_orderkey, o_custkey FROM orders")}
+    above |= orders
+    reach = set()
+    for node in above:
+        at = node
+        while at in above:
+            at = above[at]
+            reach.add((node, at))
+    leaves = {x for x in reach if x[1][0] == "r"}
+    orphans = {f"c{c}" for (c,) in rows_of(duck, "SELECT c_custkey FROM customer") if c % 17 == 0}
+    pairs = lambda name, *columns: {tuple(r[c] for c in columns) for r in QUERIES[name](spark, SMALL).collect()}
+    assert len(orders) > 1000 and pairs("support_closure", "root_id", "node_id") == reach
+    assert pairs("source_leaves", "root_id", "node_id") == leaves
+    assert pairs("live_support", "node_id") == {(o,) for o, c in orders.items() if int(c[1:]) % 10 == 0}
+    assert pairs("acyclic_backed", "node_id", "code") == {(o, "orphaned_claim") for o in orphans | {o for o, c in orders.items() if c in orphans}} | {(f"x{i}", "cycle") for i in (1, 2, 3)}
+    assert pairs("case_propagation", "node_id", "case_id") == leaves | {(f"r{r}",) * 2 for (r,) in rows_of(duck, "SELECT r_regionkey FROM region")}

@@ -87,7 +87,7 @@ STAND_INS = {
     "ann": "SELECT CAST(user_id AS VARCHAR(20)) AS case_id, lpad(CAST(event_id AS VARCHAR(20)), 12, '0') AS event_id, event_id AS seq, CAST(NULL AS VARCHAR(10)) AS variable, CASE WHEN event_id % 4 = 0 THEN 'adjudicator' ELSE 'reviewer' END AS role, concat('human:', CAST(event_id % 6 AS VARCHAR(4))) AS actor, CAST(event_id % 3 AS BIGINT) AS round, CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 2 = 0 THEN 'a' ELSE 'b' END AS stream, CASE WHEN event_type = 'purchase' THEN 'adjudication.resolve' WHEN event_type = 'view' THEN 'review.submit' WHEN event_type = 'click' THEN 'edge.add' WHEN event_type = 'error' THEN 'edge.remove' ELSE 'outcome.set' END AS action, CASE WHEN event_type = 'purchase' AND event_id % 50 <> 1 THEN concat('t', CAST(event_id % 7 AS VARCHAR(4))) END AS target_id, value FROM {events}",
     "nodes": "SELECT '' AS case_id, concat('r', CAST(r_regionkey AS VARCHAR(12))) AS node_id, 'inclusion' AS kind, CAST(NULL AS VARCHAR(10)) AS status FROM {region} UNION ALL SELECT '', concat('n', CAST(n_nationkey AS VARCHAR(12))), 'inference', NULL FROM {nation} UNION ALL SELECT '', concat('c', CAST(c_custkey AS VARCHAR(12))), 'claim', CASE WHEN c_custkey % 10 = 0 THEN 'rejected' ELSE 'proposed' END FROM {customer} UNION ALL SELECT '', concat('o', CAST(o_orderkey AS VARCHAR(12))), 'claim', 'proposed' FROM {orders}",
     "deps": "SELECT '' AS case_id, concat('n', CAST(n_nationkey AS VARCHAR(12))) AS parent_id, concat('r', CAST(n_regionkey AS VARCHAR(12))) AS child_id FROM {nation} UNION ALL SELECT '', concat('c', CAST(c_custkey AS VARCHAR(12))), concat('n', CAST(c_nationkey AS VARCHAR(12))) FROM {customer} WHERE c_custkey % 17 <> 0 UNION ALL SELECT '', concat('o', CAST(o_orderkey AS VARCHAR(12))), concat('c', CAST(o_custkey AS VARCHAR(12))) FROM {orders}",
-    "claims": "SELECT CAST(p_size AS VARCHAR(8)) AS case_id, CAST(p_partkey AS VARCHAR(20)) AS claim_id, CASE WHEN p_partkey % 3 = 0 THEN 'size' WHEN p_partkey % 3 = 1 THEN 'node' ELSE 'spread' END AS variable, CASE WHEN p_partkey % 3 = 0 THEN CASE WHEN p_size % 3 = 0 THEN 'S1' ELSE 'S2' END WHEN p_partkey % 3 = 1 THEN CASE WHEN (p_size + p_partkey / 1500) % 4 < 1 THEN 'N1' ELSE 'N0' END ELSE 'M0' END AS value, CASE WHEN p_partkey % 4 = 0 THEN 'rejected' ELSE 'proposed' END AS status FROM {part} WHERE p_partkey % 11 = p_size % 11",
+    "claims": "SELECT CAST(p_size AS VARCHAR(8)) AS case_id, CAST(p_partkey AS VARCHAR(20)) AS claim_id, CASE WHEN p_partkey % 3 = 0 THEN 'size' WHEN p_partkey % 3 = 1 THEN 'node' ELSE 'spread' END AS variable, CASE WHEN p_partkey % 3 = 0 THEN CASE WHEN p_size % 3 = 0 THEN 'S1' ELSE 'S2' END WHEN p_partkey % 3 = 1 THEN CASE WHEN (p_size + p_partkey / 1500) % 4 < 1 THEN 'N1' ELSE 'N0' END ELSE 'M0' END AS value, CASE WHEN p_partkey % 4 = 0 THEN 'rejected' ELSE 'proposed' END AS status FROM {part}",
     "policies": "SELECT r_regionkey AS dataset, CASE WHEN r_regionkey = 0 THEN 'synthetic' WHEN r_regionkey = 1 THEN 'deidentified' WHEN r_regionkey = 2 THEN 'limited' WHEN r_regionkey = 3 THEN 'phi' ELSE 'other' END AS sensitivity, r_regionkey % 2 = 0 AS no_training FROM {region}",
     "places": "SELECT n_nationkey AS place, CASE WHEN n_nationkey % 4 = 0 THEN 'local' WHEN n_nationkey % 4 = 1 THEN 'institution' WHEN n_nationkey % 4 = 2 THEN 'external_baa' ELSE 'external' END AS zone, n_nationkey % 3 = 0 AS trains, CASE WHEN n_nationkey % 5 = 0 THEN 'labels_only' ELSE 'derived_text' END AS payload FROM {nation}",
     "history": "SELECT CAST(user_id AS VARCHAR(20)) AS record_id, event_id AS seq, CASE WHEN event_id % 3 = 0 THEN 'adjudicator' ELSE 'reviewer' END AS role, CASE WHEN event_type = 'view' THEN 'verified' WHEN event_type = 'click' THEN 'gold' WHEN event_type = 'purchase' THEN 'rejected' ELSE 'verified' END AS move, CASE WHEN event_id % 2 = 0 THEN 'because' END AS reason, CASE WHEN event_type = 'view' THEN 'silver' WHEN event_type = 'click' THEN 'single_review' ELSE 'adjudicated' END AS tier, CASE WHEN event_type = 'view' THEN 'importer' WHEN event_type = 'click' THEN 'reviewer' ELSE 'adjudicator' END AS tier_role FROM {events}",

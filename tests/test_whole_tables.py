@@ -88,3 +88,23 @@ def test_all_orders_support(spark, duck):
     assert pairs("live_support", "node_id") == {(o,) for o, c in orders.items() if int(c[1:]) % 10 == 0}
     assert pairs("acyclic_backed", "node_id", "code") == {(o, "orphaned_claim") for o in orphans | {o for o, c in orders.items() if c in orphans}} | {(f"x{i}", "cycle") for i in (1, 2, 3)}
     assert pairs("case_propagation", "node_id", "case_id") == leaves | {(f"r{r}",) * 2 for (r,) in rows_of(duck, "SELECT r_regionkey FROM region")}
+
+
+def test_all_parts_derive(spark, duck):
+    cases, inputs = defaultdict(lambda: defaultdict(set)), defaultdict(set)
+    for size, part in rows_of(duck, "SELECT p_size, p_partkey FROM part"):
+        kind = ("size", "node", "spread")[part % 3]
+        value = {"size": "S2" if size % 3 else "S1", "node": "N1" if (size + part / 1500) % 4 < 1 else "N0", "spread": "M0"}[kind]
+        cases[str(size)]
+        if part % 4:
+            cases[str(size)][kind].add(value)
+    want = {}
+    for case, found in cases.items():
+        if any(len(v) > 1 for v in found.values()):
+            want[case] = ("conflicting_evidence", None)
+        elif found["size"] and found["node"]:
+            want[case] = ("answered", {"S1N0": "I", "S2N0": "II", "S1N1": "II", "S2N1": "III"}[min(found["size"]) + min(found["node"])])
+        else:
+            want[case] = ("insufficient_evidence", None)
+    assert {r["case_id"]: (r["status"], r["value"]) for r in QUERIES["rule_derive"](spark, SMALL).collect()} == want
+    assert [r["mismatches"] for r in QUERIES["rule_replay"](spark, SMALL).collect()] == [0]

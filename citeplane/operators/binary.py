@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 from collections.abc import Iterable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import stats
@@ -81,26 +83,36 @@ def resampled(eligible: list[str], resamples: int = RESAMPLES, seed: int = SEED)
             yield r, eligible[draw.randrange(len(eligible))]
 
 
+def places(n: int, resamples: int, seed: int) -> Iterable[np.ndarray]:
+    """For each replicate the n places below n that resampled() draws: the same generator's words, taken in bulk."""
+    key = random.Random(seed).getstate()[1]
+    twister = np.random.MT19937()
+    twister.state = {"bit_generator": "MT19937", "state": {"key": np.array(key[:-1], np.uint32), "pos": key[-1]}}
+    held = np.empty(0, np.int64)
+    for _ in range(resamples):
+        while len(held) < n:
+            drawn = (twister.random_raw(max(n, 1 << 14)) >> np.uint64(32 - n.bit_length())).astype(np.int64)
+            held = np.append(held, drawn[drawn < n])
+        yield held[:n]
+        held = held[n:]
+
+
 def bootstrap(rows: DataFrame, resamples: int = RESAMPLES, seed: int = SEED, level: float = 0.95) -> DataFrame:
     """Percentile interval of each measure over whole-case resamples; undefined replicates are left out and counted.
 
     A replicate depends on how often it draws a case, and cases with equal flags are alike. So cases are grouped by
-    their flags (a few dozen groups) and the driver draws groups: (replicate, group, times), joined and summed natively.
+    their flags (a few dozen groups) and the driver draws groups: (replicate, group, times), joined with a group's counts and summed natively.
     The draws are those of a draw over cases in case_id order.
     """
     spark = rows.sparkSession
     flags = ["binary", "answered", "gold", "pred", "failure_kind", "has_pred", "has_gold"]
     kinds = {tuple(r[f] for f in flags): i for i, r in enumerate(rows.select(*flags).distinct().collect())}
-    order = [kinds[tuple(r[f] for f in flags)] for r in rows.select("case_id", *flags).orderBy("case_id").toLocalIterator()]
-    draw, table = random.Random(seed), []
-    for r in range(resamples if order else 0):
-        times = [0] * len(kinds)
-        for _ in order:
-            times[order[draw.randrange(len(order))]] += 1
-        table += [(r, i, n) for i, n in enumerate(times) if n]
-    draws = spark.createDataFrame(table, "replicate int, kind int, times long")
+    order = np.array([kinds[tuple(r[f] for f in flags)] for r in rows.select("case_id", *flags).orderBy("case_id").toLocalIterator()], np.int64)
+    times = np.array([np.bincount(order[at], minlength=len(kinds)) for at in places(len(order), resamples if len(order) else 0, seed)], np.int64).reshape(-1, len(kinds))
+    replicate, kind = np.nonzero(times)
+    draws = spark.createDataFrame(pa.table({"replicate": replicate.astype(np.int32), "kind": kind.astype(np.int32), "times": times[replicate, kind]}))
     groups = spark.createDataFrame([(i, *k) for k, i in kinds.items()], "kind int, binary boolean, answered boolean, gold boolean, pred boolean, failure_kind string, has_pred boolean, has_gold boolean")
-    per = counts(draws.join(F.broadcast(groups), "kind").withColumn("x", F.explode(F.expr("sequence(1L, times)"))), "replicate")
+    per = draws.join(F.broadcast(counts(groups, "kind")), "kind").groupBy("replicate").agg(*(F.sum(F.col(c) * F.col("times")).alias(c) for c in COUNTS))
     low, high = (1 - level) / 2, 1 - (1 - level) / 2
     spread = F.percentile("value", F.array(F.lit(low), F.lit(high)))
     return measures(per, "replicate").groupBy("name").agg(spread.alias("q"), F.count("value").alias("defined"), F.count_if(F.col("value").isNull()).alias("undefined")).select("name", F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"), "defined", "undefined")

@@ -223,7 +223,7 @@ def gates(t: Tables) -> DataFrame:
 
 @query()
 def bootstrap_ci(t: Tables) -> DataFrame:
-    return binary.bootstrap(_rows(t), resamples=100)
+    return binary.bootstrap(_rows(t))
 
 
 @query("""WITH v AS (SELECT source AS name, CAST(n_chars AS DOUBLE) AS value FROM {documents}) SELECT name, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high FROM v GROUP BY name""")

@@ -4,6 +4,7 @@ import hashlib
 import json
 from collections import defaultdict
 
+from citeplane.operators import binary
 from citeplane.plans.queries import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -108,3 +109,11 @@ def test_all_parts_derive(spark, duck):
             want[case] = ("insufficient_evidence", None)
     assert {r["case_id"]: (r["status"], r["value"]) for r in QUERIES["rule_derive"](spark, SMALL).collect()} == want
     assert [r["mismatches"] for r in QUERIES["rule_replay"](spark, SMALL).collect()] == [0]
+
+
+def test_all_resamples(spark):
+    got = QUERIES["bootstrap_ci"](spark, SMALL).collect()
+    assert {r["defined"] + r["undefined"] for r in got} == {10_000}
+    for n in (1, 2, 7, 64, 300):
+        want = [at for _, at in binary.resampled(list(range(n)), 200, 5)]
+        assert [at for draw in binary.places(n, 200, 5) for at in draw.tolist()] == want

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -10,7 +10,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Text bytes that a Python worker takes up at once.
 SLICE_BYTES = 4 << 20
@@ -21,36 +21,55 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset and all runs on this machine (tests),
+    a local one; on a cluster an unset one is an error."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not found:
         found = getattr(spark, "_citeplane_scratch", None) or tempfile.mkdtemp(prefix="citeplane-")
         spark._citeplane_scratch = found
     return found.rstrip("/")
 
 
+#: Shuffle files go when the query that made them ends.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage; each can be dropped once nothing reads it."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/citeplane/{name}-{uuid.uuid4().hex}"
 
-    def keep(self, df: DataFrame, table: str, tidy: bool = False) -> DataFrame:
-        """Writes df as Parquet and reads it again. tidy: shuffle files that nothing refers to any more go at once,
-        and not when the driver next happens to collect its garbage."""
+    def keep(self, df: DataFrame, table: str) -> DataFrame:
+        """Writes df as Parquet and reads it again. Once the table is written nothing needs the shuffle files of its query
+        any more, so Spark is told to remove them as the write ends."""
         path = f"{self.root}/{table}"
-        df.write.mode("overwrite").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        if tidy:
-            del df
-            gc.collect()
-            self.spark.sparkContext._jvm.System.gc()
-        return out
-
-    def drop(self, table: str) -> None:
+        before = self.spark.conf.get(_CLEAN, "false")
+        self.spark.conf.set(_CLEAN, "true")
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            self.spark.conf.set(_CLEAN, before)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *tables: str) -> None:
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        for table in tables:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Most ids that are broadcast, 8 bytes each; more are shuffled.
+BROADCAST_IDS = 1 << 22
+
+
+def narrow(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """left_semi or left_anti join of df with the kept table ids (one column, named as in df): the ids are counted and go to
+    the rows where they are few, else both are shuffled."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), ids.columns, how)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

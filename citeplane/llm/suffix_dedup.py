@@ -389,12 +389,12 @@ def _versions(docs: DataFrame, scratch: Scratch, n: int) -> DataFrame:
     docs = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("own"))
     digest = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
     several = docs.groupBy("own").agg(F.min(digest).alias("least"), F.max(digest).alias("most")).where("least <> most").select("own")
-    several = scratch.keep(several, "several", tidy=True)
+    several = scratch.keep(several, "several")
     if several.isEmpty():
         return docs.withColumn("ver", F.lit(0).cast("long"))
     texts = docs.join(several, "own", "left_semi").select("own", F.coalesce("text", F.lit("")).alias("text")).distinct()
     texts = texts.repartitionByRange(n, "own", "text").sortWithinPartitions("own", "text")
-    texts = scratch.keep(texts.select("own", digest.alias("digest"), F.monotonically_increasing_id().alias("ver")), "texts", tidy=True)
+    texts = scratch.keep(texts.select("own", digest.alias("digest"), F.monotonically_increasing_id().alias("ver")), "texts")
     return docs.withColumn("digest", digest).join(texts, ["own", "digest"], "left").select("doc_id", "text", "own", F.coalesce("ver", F.lit(0).cast("long")).alias("ver"))
 
 
@@ -404,14 +404,14 @@ def dedup(docs: DataFrame) -> DataFrame:
     scratch, n = Scratch(spark, "suffixes"), shuffle_partitions(spark)
     docs = _versions(docs, scratch, n)
     rows = docs.select("doc_id", "ver", "text").mapInArrow(_anchor_rows, _ROWS).repartition(n, "key").sortWithinPartitions("kind", "key", "r", "doc", "ver", "at")
-    classes = scratch.keep(rows.mapInArrow(_class_rows, _ROWS), "classes", tidy=True)
+    classes = scratch.keep(rows.mapInArrow(_class_rows, _ROWS), "classes")
     waiting = classes.where("kind = 0").select("key", "doc", "ver", "at")
     crowded = waiting.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > GROUP).select("key", F.lit(True).alias("crowded"))
     runs = waiting.join(crowded, "key", "left").select("doc", "ver", F.struct("at", "key", F.coalesce("crowded", F.lit(False)).alias("crowded")).alias("run")).groupBy(F.col("doc").alias("own"), "ver").agg(F.collect_list("run").alias("runs"))
     regions = docs.join(runs.hint("shuffle_hash"), ["own", "ver"]).select("doc_id", "ver", "text", "runs").mapInArrow(_region_rows, _REGIONS)
-    regions = scratch.keep(regions, "regions", tidy=True)
+    regions = scratch.keep(regions, "regions")
     late = regions.repartition(n, "key").sortWithinPartitions("key", "doc", "ver", "start").mapInArrow(_sorted_rows, "doc long, ver long, start long, end long")
-    late = scratch.keep(late, "late", tidy=True)
+    late = scratch.keep(late, "late")
     early = classes.where("kind = 1").select("doc", "ver", F.col("at").alias("start"), F.col("r").alias("end"))
     spans = early.unionByName(late).groupBy(F.col("doc").alias("own"), "ver").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     return docs.join(spans.hint("shuffle_hash"), ["own", "ver"], "left").select("doc_id", "text", "spans").mapInArrow(_kept_rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

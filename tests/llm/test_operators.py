@@ -340,6 +340,49 @@ def test_keys_meet():
         assert first[0] & first[1]
 
 
+def thue_morse(n):
+    """The two complementary words of length 2^n, which agree under polynomial hashes modulo a power of two."""
+    one, two = "a", "b"
+    for _ in range(n):
+        one, two = one + two, two + one
+    return one, two
+
+
+def test_jaccard_words_apart(spark):
+    """Words that simple polynomial hashes confuse stay different, alone, in short texts and in long ones."""
+    rng = random.Random(21)
+    rows = []
+    for n in (10, 11, 12):
+        rest = " ".join(f"w{rng.randrange(10**6)}" for _ in range(30))
+        for word in thue_morse(n):
+            rows += [word, word + " x", " ".join([word + str(i) for i in range(20)]), rest + " " + word]
+    rows += ["b c d", "b c d b c d", "r r r", "r r r r r", "R r R r"]
+    rows = list(enumerate(rows))
+    for words, percent in ((3, 90), (5, 80)):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), words, percent).collect()}
+        assert got == brute_components(rows, words, percent)
+
+
+@pytest.mark.parametrize("pack, block", [(1 << 21, 1024), (300, 3)])
+def test_jaccard_small_portions(spark, monkeypatch, pack, block):
+    """One large group of near copies and a passage that many texts share, with keys sent and sets compared in portions."""
+    monkeypatch.setattr(jaccard, "PACK", pack)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "ROUNDS", 1)
+    rng = random.Random(22)
+    say = lambda n: [f"v{rng.randrange(3000)}" for _ in range(n)]
+    base, passage, rows = say(60), say(50), []
+    for _ in range(70):
+        copy = list(base)
+        for _ in range(rng.randrange(0, 5)):
+            copy[rng.randrange(len(copy))] = "x" + str(rng.randrange(99))
+        rows.append(" ".join(copy))
+    rows += [" ".join(say(rng.randrange(5, 40)) + passage + say(rng.randrange(5, 40))) for _ in range(40)]
+    rows = list(enumerate(rows))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 5, 80).collect()}
+    assert got == brute_components(rows, 5, 80)
+
+
 def test_jaccard_edges(edges, nothing):
     got = jaccard.join(edges).collect()
     assert len(got) == edges.count()
@@ -347,6 +390,14 @@ def test_jaccard_edges(edges, nothing):
     assert jaccard.join(nothing).count() == 0
 
 
+def test_jaccard_shared_ids(spark):
+    """Rows of null or equal doc_id link by their own texts; repeated rows all come back."""
+    say = lambda x: " ".join(f"{x}{i}" for i in range(60))
+    rows = [(3, say("a")), (3, say("a")), (3, say("b")), (None, say("b")), (None, say("c")), (None, say("c")), (9, say("a") + " end"), (None, None), (4, "")]
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == sorted([("3", 56, "3")] * 3 + [("None", 56, "3")] + [("None", 56, "None")] * 2 + [("9", 57, "3"), ("None", 0, "None"), ("4", 0, "4")])
+
+
 def test_components(spark):
     rng = random.Random(15)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(40)]

@@ -44,16 +44,18 @@ from .graph_components import components
 
 WORDS, PERCENT = 5, 80
 #: Most sets on each side of a tile of the last comparison; keys that a slice of documents gathers before it sends them.
-BLOCK, PACK = 1024, 1 << 21
+BLOCK, PACK = 1024, 1 << 19
 #: Most rounds in which one set of each component stands for it. The last comparison takes what is left, however much.
 ROUNDS = 8
+#: Bytes of text that are cut into words at once.
+SLICE = 1 << 20
 _B = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Words(dict):
     """Number of each word seen; the hashes stand in a table by that number."""
 
-    most, long = 1 << 20, 64
+    most, long = 1 << 17, 64
 
     def __init__(self) -> None:
         super().__init__()
@@ -190,7 +192,7 @@ _IDENTITY = "key long, n long, identity binary"
 
 def _identities(words: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=SLICE):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             flat, ends = shingle_rows(texts, words)
             n = np.diff(ends, prepend=0)
@@ -241,7 +243,7 @@ def _cells(words: int, percent: int, cells: int):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, slack, size = [], [], 0
-        for batch in slices(batches):
+        for batch in slices(batches, most=SLICE):
             flat, ends = shingle_rows(batch.column("text").cast(pa.binary()).to_pylist(), words)
             sums = np.append(np.uint64(0), np.cumsum(mix64(flat)))
             for doc, a, b in zip(batch.column("key").to_pylist(), np.append(0, ends[:-1]).tolist(), ends.tolist()):
@@ -293,7 +295,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _signatures(words: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=SLICE):
             flat, ends = shingle_rows(batch.column("text").cast(pa.binary()).to_pylist(), words)
             begin = np.append(0, ends[:-1])
             bits = [signature(flat[a:b]).tobytes() for a, b in zip(begin.tolist(), ends.tolist())]
@@ -324,7 +326,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
     """The pairs (a, b) that link: by exact intersection of the hashes, then, where these say so, of the words."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text_b"):
+        for batch in slices(batches, "text_b", SLICE):
             one, two = (batch.column(f"text_{x}").cast(pa.binary()).to_pylist() for x in "ab")
             (x, x_ends), (y, y_ends) = shingle_rows(list(dict.fromkeys(one)), words), shingle_rows(two, words)
             place = {t: i for i, t in enumerate(dict.fromkeys(one))}

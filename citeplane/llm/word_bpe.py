@@ -3,9 +3,13 @@
 A text is normalised (NFC, lower case by code point), cut into words (contractions, letters, single digits, other
 runs), and each word becomes byte symbols of which the last carries the word end. Words not seen before are encoded
 together: greedy longest match proposes tokens for all of them in lockstep over a trie, the compatibility of every
-adjacent pair is checked in one vectorised pass, and only words with a failing pair (or of more than LONG bytes) are
-merged exactly. Results are kept in a bounded cache, by the text between two spaces or line ends, which no word crosses
-and which normalisation does not join. Special tokens are found in that text before anything else.
+adjacent pair is checked in one vectorised pass, and only what fails is merged exactly: a word, or in a word of more than
+LONG bytes, which is proposed in parts of so many, the tokens around a failing pair, more of them while a pair at their
+edge fails. Results are kept in a bounded cache, by the text between two spaces or line ends, which no word crosses and
+which normalisation does not join. Special tokens are found in that text before anything else.
+
+Letters and numbers are those of Unicode 16, by which the vocabulary's own library goes; younger ones that a newer regex
+module knows count as unassigned.
 
 Defined cases: null text is empty; an empty text has no tokens and decodes to the empty text; repeated rows give equal
 values; other columns are ignored; an empty table gives no rows. The vocabulary file's path is a parameter; executors
@@ -29,10 +33,33 @@ from .common import slices, texts_of
 LONG, CACHE = 48, 400_000
 #: The word pattern of the vocabulary.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+#: Letters and numbers that Unicode 16 added, first and last of each run.
+_ADDED = (
+    "1C89-1C8A A7CB-A7CD A7DA-A7DC 105C0-105F3 10D4A-10D65 10D6F-10D85 10EC2-10EC4 11380-11389 1138B-1138B 1138E-1138E "
+    "11390-113B5 113B7-113B7 113D1-113D1 113D3-113D3 11BC0-11BE0 13460-143FA 16100-1611D 16D40-16D6C 18CFF-18CFF "
+    "1E5D0-1E5ED 1E5F0-1E5F0 10D40-10D49 116D0-116E3 11BF0-11BF9 16130-16139 16D70-16D79 1CCF0-1CCF9 1E5F1-1E5FA"
+)
+
+
+def _younger() -> str:
+    """Letters and numbers of the regex module that are none up to Unicode 16, as a set of runs."""
+    runs = [run.split("-") for run in _ADDED.split()]
+    added = {c for first, last in runs for c in range(int(first, 16), int(last, 16) + 1)}
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    young = [c for c in map(ord, regex.findall(r"[\p{L}\p{N}]", every)) if unicodedata.category(chr(c)) == "Cn" and c not in added]
+    ends = [i for i, c in enumerate(young) if i + 1 == len(young) or young[i + 1] != c + 1]
+    begins = [0, *(i + 1 for i in ends[:-1])]
+    return "".join(f"{chr(young[a])}-{chr(young[b])}" for a, b in zip(begins, ends))
+
+
+_YOUNGER = _younger()
 _WORDS = regex.compile(WORDS)
+#: The same where younger letters and numbers occur, which belong to no class.
+_STRANGE = regex.compile(f"[{_YOUNGER}]") if _YOUNGER else None
+_EXACT = regex.compile(WORDS.replace(r"[^\s\p{L}\p{N}]", rf"(?:[^\s\p{{L}}\p{{N}}]|[{_YOUNGER}])").replace(r"|\p{L}+", rf"|(?:(?![{_YOUNGER}])\p{{L}})+").replace(r"|\p{N}|", rf"|(?![{_YOUNGER}])\p{{N}}|")) if _YOUNGER else _WORDS
 _RARE = regex.compile("[԰-\U0010ffff]")
 #: Lower case of capitals that are younger than Python's Unicode tables.
-_YOUNG = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B, **{0x10D50 + i: 0x10D70 + i for i in range(22)}}
+_YOUNG = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, **{0x16EA0 + i: 0x16EBB + i for i in range(25)}, **{0x10D50 + i: 0x10D70 + i for i in range(22)}}
 
 
 def normal(text: str) -> str:
@@ -47,6 +74,12 @@ def normal(text: str) -> str:
     return text.lower()
 
 
+def words_of(text: str) -> list[str]:
+    if _STRANGE and not text.isascii() and _STRANGE.search(text):
+        return _EXACT.findall(text)
+    return _WORDS.findall(text)
+
+
 def byte_symbols() -> list[str]:
     """The character that stands for each byte: itself if printable, else the next free one from 256."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -76,6 +109,8 @@ class Tokenizer:
             pairs[x, y] = t
             if rank[t] < 0:
                 rank[t], left[t], right[t], parts[t] = r, x, y, parts[x] + parts[y]
+        self.length = np.zeros(n, np.int64)
+        self.length[list(parts)] = [len(p) for p in parts.values()]
         self.rules, self.trie = Rules(rank, left, right, pairs), Trie([(p, t) for t, p in parts.items()], 512)
         self.strings = np.empty(n, object)
         for s, t in (vocab | self.special).items():
@@ -105,13 +140,36 @@ class Tokenizer:
         order = np.argsort(lanes, kind="stable")
         return lanes[order], tokens[order]
 
+    def long_word(self, word: bytes) -> np.ndarray:
+        """Tokens of a word of any length: proposed in parts of LONG bytes; around each failing pair the symbols are merged
+        exactly, with twice as many tokens on each side every time a pair fails again."""
+        symbols = np.frombuffer(word, np.uint8).astype(np.int64)
+        symbols[-1] += 256
+        starts = np.arange(0, len(symbols), LONG)
+        tokens = self.speculate(symbols, starts, np.minimum(starts + LONG, len(symbols)))[1]
+        reach = 2
+        while True:
+            bad = np.flatnonzero(~self.rules.compatible(tokens[:-1], tokens[1:])) if len(tokens) > 1 else tokens[:0]
+            if not len(bad):
+                return tokens
+            low, high = np.maximum(bad - reach, 0), np.minimum(bad + 2 + reach, len(tokens))
+            new = np.append(True, low[1:] > np.maximum.accumulate(high)[:-1])
+            low, high = low[new], np.maximum.reduceat(high, np.flatnonzero(new))
+            at = np.append(0, np.cumsum(self.length[tokens]))
+            out, done = [], 0
+            for a, b in zip(low.tolist(), high.tolist()):
+                out += [tokens[done:a], np.array(self.rules.merge(self.base[symbols[at[a] : at[b]]].tolist()), np.int64)]
+                done = b
+            tokens = np.concatenate([*out, tokens[done:]])
+            reach *= 2
+
     def words(self, words: list[str]) -> dict[str, bytes]:
         """Encodes distinct words."""
         out: dict[str, bytes] = {}
         raw = [w.encode() for w in words]
         for w, b in zip(words, raw):
             if len(b) > LONG:
-                out[w] = np.array(self.rules.merge(self.base[[*b[:-1], 256 + b[-1]]].tolist()), np.int32).tobytes()
+                out[w] = self.long_word(b).astype(np.int32).tobytes()
         words, raw = [w for w, b in zip(words, raw) if len(b) <= LONG], [b for b in raw if len(b) <= LONG]
         self.seen += len(words)
         if not words:
@@ -136,10 +194,10 @@ class Tokenizer:
     def _cut(self, piece: str) -> list[str | int]:
         """Words of a piece of text; special tokens as their ids."""
         if "<" not in piece or self._special is None or not self._special.search(piece):
-            return _WORDS.findall(normal(piece))
+            return words_of(normal(piece))
         out: list[str | int] = []
         for part in self._special.split(piece):
-            out += [self.special[part]] if part in self.special else _WORDS.findall(normal(part))
+            out += [self.special[part]] if part in self.special else words_of(normal(part))
         return out
 
     def learn(self, pieces: list[str]) -> None:

@@ -247,12 +247,14 @@ def test_pii_trees():
         for cue in (0, 1):
             for half in (0, 1):
                 good = 50 if nd in (4, 5) and cue else 0
-                cells.append((1, nd, 2, 0, 1, 1, cue, half, good, 60 - good))
-    trees, threshold = pii.fit(cells, 0.8)
-    x = np.array([c[:7] for c in cells], float)
-    picked = {(int(a[1]), int(a[6])) for a, m in zip(x, np.round(trees.margins(x), 9)) if threshold is not None and m >= threshold}
+                cells.append((1, nd, 2, 0, 0, 1, 1, cue, half, good, 60 - good))
+    trees, (a, b), threshold = pii.fit(cells, 0.8, 0.5)
+    x = np.array([c[:8] for c in cells], float)
+    top = 1 / (1 + np.exp(-(a * trees.margins(x).max() + b)))
+    assert abs(top - 50 / 60) < 0.05  # calibrated: the share that is right
+    picked = {(int(a[1]), int(a[7])) for a, m in zip(x, np.round(trees.margins(x), 9)) if threshold is not None and m >= threshold}
     assert picked == {(4, 1), (5, 1)}
-    assert pii.fit([], 0.9)[1] is None
+    assert pii.fit([], 0.9)[2] is None
 
 
 # 7

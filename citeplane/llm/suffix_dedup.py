@@ -3,8 +3,10 @@
 Two equal windows of SIZE bytes hold the same GRAM-byte substring of smallest hash at the same offset: their anchor. So
 a text is its runs of windows with one anchor, each with the region of bytes that they cover; windows need comparing
 only where their anchors are equal. Regions that are equal as a whole form a class, whose earliest member stands for
-it; all others are removed. This is done first within a slice of documents, so that copies leave one row for each
-slice, and then over all rows of an anchor. What remains are the earliest members of anchors with several classes.
+it; all others are removed. Anchors meet by polynomial hashes, which structured bytes can make collide, so whether regions
+are equal is verified by a BLAKE2b digest of their bytes, among the regions of one anchor. This is done first within a
+slice of documents, so that copies leave one row for each slice, and then over all rows of an anchor. What remains are the
+earliest members of anchors with several classes.
 
 Their regions are cut from the texts and sorted as suffixes, one for each window: prefix polynomial hashes give the hash
 of any substring, binary search finds the common extension of two suffixes in a logarithmic number of comparisons, and a
@@ -22,6 +24,7 @@ table gives no rows. Texts longer than PIECE bytes are cut into overlapping piec
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +42,7 @@ powers, prefix_hashes = Polynomial.powers, Polynomial.prefixes
 
 
 def anchors(data: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one anchor: its hash, the hash of their region, their first and last start, its place."""
+    """Runs of windows with one anchor: its hash, the digest of their region, their first and last start, its place."""
     _, down = powers(len(data) + 1)
     s = prefix_hashes(data)
     n = len(data) - GRAM + 1
@@ -55,7 +58,8 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, ...]:
     cut = np.flatnonzero(place[1:] != place[:-1]) + 1
     first, last = np.append(0, cut), np.append(cut - 1, len(place) - 1)
     at = place[first]
-    region = (s[last + SIZE] - s[first]) * down[first]
+    raw = memoryview(np.ascontiguousarray(data))
+    region = np.frombuffer(b"".join([blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(first.tolist(), (last + SIZE).tolist())]), np.uint64)
     region = mix64(region + (at - first).astype(np.uint64) * np.uint64(0xD1342543DE82EF95) + (last - first).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
     return gram[at], region, first, last, at
 
@@ -408,13 +412,13 @@ def dedup(docs: DataFrame) -> DataFrame:
     waiting = classes.where("kind = 0").select("key", "doc", "ver", "at")
     crowded = waiting.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > GROUP).select("key", F.lit(True).alias("crowded"))
     runs = waiting.join(crowded, "key", "left").select("doc", "ver", F.struct("at", "key", F.coalesce("crowded", F.lit(False)).alias("crowded")).alias("run")).groupBy(F.col("doc").alias("own"), "ver").agg(F.collect_list("run").alias("runs"))
-    regions = docs.join(runs.hint("shuffle_hash"), ["own", "ver"]).select("doc_id", "ver", "text", "runs").mapInArrow(_region_rows, _REGIONS)
+    regions = docs.join(runs, ["own", "ver"]).select("doc_id", "ver", "text", "runs").mapInArrow(_region_rows, _REGIONS)
     regions = scratch.keep(regions, "regions")
     late = regions.repartition(n, "key").sortWithinPartitions("key", "doc", "ver", "start").mapInArrow(_sorted_rows, "doc long, ver long, start long, end long")
     late = scratch.keep(late, "late")
     early = classes.where("kind = 1").select("doc", "ver", F.col("at").alias("start"), F.col("r").alias("end"))
     spans = early.unionByName(late).groupBy(F.col("doc").alias("own"), "ver").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return docs.join(spans.hint("shuffle_hash"), ["own", "ver"], "left").select("doc_id", "text", "spans").mapInArrow(_kept_rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return docs.join(spans, ["own", "ver"], "left").select("doc_id", "text", "spans").mapInArrow(_kept_rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def digests(kept: DataFrame) -> DataFrame:

@@ -164,6 +164,17 @@ def test_suffix_dedup(spark, monkeypatch, group):
     assert got == brute_spans([(d, (t or "").encode()) for d, t in rows], suffix_dedup.SIZE)
 
 
+def test_suffix_collisions(spark):
+    """Bytes that agree under polynomial hashes modulo a power of two, alone and inside equal surroundings, are kept."""
+    one, two = thue_morse(11)
+    rng = random.Random(17)
+    say = lambda n: "".join(rng.choice("cdefgh ") for _ in range(n))
+    head, tail = say(150), say(150)
+    rows = list(enumerate([one, two, head + one + tail, head + two + tail, two + say(40), say(40) + one[:1500]]))
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.digests(suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert got == brute_spans([(d, t.encode()) for d, t in rows], suffix_dedup.SIZE)
+
+
 def test_suffix_order():
     rng = np.random.Generator(np.random.PCG64(6))
     data = rng.integers(97, 99, 4000).astype(np.uint8)

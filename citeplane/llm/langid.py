@@ -6,7 +6,8 @@ priors; it is broadcast, its size being BUCKETS times the number of languages. A
 the matrix rows of all its n-grams, summed within documents.
 
 The n-gram counts are fitted on at most `train_docs` documents (by hash of doc_id; all, when there are fewer); the
-priors count all training documents. At most MAX_LANGS languages are learned, the most frequent ones.
+priors count all training documents. All languages are learned; more than MAX_LANGS labels are an error, as their matrix
+(128 KB a language) is too large to broadcast.
 
 Defined cases: a text that is null or has no letter is `und` with score 0.0; without training documents every text is;
 null lang is never learned; ties between languages go to the first by code point; repeated rows score alike; other
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import slices, texts_of
 
-BUCKETS, TRAIN_DOCS, MAX_LANGS = 1 << 15, 20_000, 500
+BUCKETS, TRAIN_DOCS, MAX_LANGS = 1 << 15, 20_000, 2000
 UNKNOWN = "und"
 
 
@@ -79,15 +80,17 @@ def _count_rows(langs: list[str]):
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, log-probability matrix (features x languages) and log priors, of rows with text and lang."""
     docs = docs.select("doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL")
-    per = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    per = docs.groupBy("lang").count().limit(MAX_LANGS + 1).collect()
+    if len(per) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages to learn")
     langs, total = sorted(r["lang"] for r in per), sum(r["count"] for r in per)
     if not langs:
         return [], np.zeros((BUCKETS, 0), np.float32), np.zeros(0)
     keep = min(1.0, train_docs / total)
     part = docs.where(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 20)) < int(keep * (1 << 20)) + 1)
     counts = np.ones((BUCKETS, len(langs)))
-    for r in part.mapInArrow(_count_rows(langs), "k int, feature int, n long").groupBy("k", "feature").agg(F.sum("n").alias("n")).collect():
-        counts[r["feature"], r["k"]] += r["n"]
+    found = part.mapInArrow(_count_rows(langs), "k int, feature int, n long").groupBy("k", "feature").agg(F.sum("n").alias("n")).toArrow()
+    counts[found["feature"].to_numpy(), found["k"].to_numpy()] += found["n"].to_numpy()
     prior = dict((r["lang"], r["count"]) for r in per)
     return langs, np.log(counts / counts.sum(axis=0)).astype(np.float32), np.log(np.array([prior[x] for x in langs]) / total)
 

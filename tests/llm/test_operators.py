@@ -72,6 +72,20 @@ def test_flight_keeps_totals():
     assert sum(p) == pytest.approx(sum(u[0] for u in units)) and sum(x * u[1] for x, u in zip(p, units)) == pytest.approx(sum(u[0] * u[1] for u in units))
 
 
+def test_mixing_near_targets(spark):
+    """Each source's words come within a fiftieth of its target; and the exchange finds what all exchanges would."""
+    got = mixing.mix(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    for r in got.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"), F.first("target").alias("target")).collect():
+        assert abs(r["taken"] - r["target"]) <= 0.02 * r["target"], r
+    rng = np.random.Generator(np.random.PCG64(4))
+    for _ in range(50):
+        size, before = rng.integers(1, 60, 12).astype(float), np.full(12, 0.5)
+        p = (rng.random(12) < 0.5).astype(float)
+        best = min([abs(((p - before) * size).sum()), *(abs(((p - before) * size).sum() - size[i] + size[j]) for i in range(12) for j in range(12) if p[i] == 1 and p[j] == 0)])
+        new = mixing.exchanged(p, before, size)
+        assert abs(((new - before) * size).sum()) <= best + 1e-9 and new.sum() == p.sum()
+
+
 def test_mixing(documents, edges, nothing):
     for block in (mixing.BLOCK, 5):
         got = mixing.mix(documents, block=block)

@@ -470,7 +470,7 @@ def pii_emails(t: Tables) -> DataFrame:
 _DECISIONS = "SELECT CAST(o_orderkey AS VARCHAR(20)) AS decision_id, o_orderdate AS checked_at, o_orderkey % 2 = 0 AS permitted, o_orderstatus AS reason, CAST(NULL AS VARCHAR(5)) AS restriction_id, '1' AS policy_version, 'd' AS destination, 'k' AS destination_kind, 'local' AS zone, 'synthetic' AS sensitivity, 'labels_only' AS payload, CAST(NULL AS VARCHAR(5)) AS dataset, CAST(NULL AS VARCHAR(5)) AS run_id, CAST(o_custkey AS VARCHAR(20)) AS case_id FROM {orders}"
 
 
-@query(f"""WITH d AS ({_DECISIONS}), r AS (SELECT decision_id, sha256(concat('{{{{"case_id":"', case_id, '","checked_at":"', strftime(checked_at, '%Y-%m-%dT%H:%M:%S.%f'), 'Z","dataset":null,"decision_id":"', decision_id, '","destination":"d","destination_kind":"k","payload":"labels_only","permitted":', CAST(permitted AS VARCHAR), ',"policy_version":"1","reason":"', reason, '","restriction_id":null,"run_id":null,"sensitivity":"synthetic","zone":"local"}}}}')) AS h FROM d) SELECT CAST(count(*) AS BIGINT) AS "rows", sha256(string_agg(h, chr(10) ORDER BY decision_id)) AS content FROM r""".replace("{{", "{").replace("}}", "}"))
+@query(f"""WITH d AS ({_DECISIONS}), r AS (SELECT decision_id, concat('{{{{"case_id":"', case_id, '","checked_at":"', strftime(checked_at, '%Y-%m-%dT%H:%M:%S.%f'), 'Z","dataset":null,"decision_id":"', decision_id, '","destination":"d","destination_kind":"k","payload":"labels_only","permitted":', CAST(permitted AS VARCHAR), ',"policy_version":"1","reason":"', reason, '","restriction_id":null,"run_id":null,"sensitivity":"synthetic","zone":"local"}}}}') AS h FROM d) SELECT CAST(count(*) AS BIGINT) AS "rows", sha256(string_agg(h, chr(10) ORDER BY decision_id)) AS content FROM r""".replace("{{", "{").replace("}}", "}"))
 def content_hash(t: Tables) -> DataFrame:
     rows = t.sql(_DECISIONS).withColumn("checked_at", F.col("checked_at").cast("timestamp"))
     return bundles.content_hash(TABLES["decisions"], rows)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import ids, text as tx
@@ -43,8 +45,24 @@ class Unvalidated:
         return self._rows[column]
 
 
-def text_hash(text: Column) -> Column:
-    return F.sha2(text, 256)
+def text_hash(text: Column, record: Column | None = None) -> Column:
+    """SHA-256 of a source's text; of its canonical record, under the name record, where it has no text but one (JSON)."""
+    if record is None:
+        return F.sha2(text, 256)
+    shown = F.concat(F.lit('{"record":'), ids.canon(record), F.lit("}"))
+    return F.when(text.isNotNull(), F.sha2(text, 256)).otherwise(F.sha2(shown, 256))
+
+
+#: Control characters that JSON names by a letter.
+_NAMED = {8: "b", 9: "t", 10: "n", 12: "f", 13: "r"}
+
+
+def json_text(c: Column) -> Column:
+    """A string as canonical JSON: quotes, backslashes and control characters escaped, hexadecimal in lower case."""
+    out = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    for i in range(32):
+        out = F.replace(out, F.lit(chr(i)), F.lit("\\" + _NAMED.get(i, f"u{i:04x}")))
+    return F.concat(F.lit('"'), F.when(c.rlike(r'["\\\x00-\x1f]'), out).otherwise(c), F.lit('"'))
 
 
 def row_text(table: Table, columns: list[str]) -> Column:
@@ -62,20 +80,36 @@ def row_text(table: Table, columns: list[str]) -> Column:
         elif name in table.json:
             shown = c
         else:
-            shown = F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+            shown = json_text(c)
         parts.append(F.concat(F.lit(json.dumps(name) + ":"), F.coalesce(shown, F.lit("null"))))
     return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
 
 def content_hash(table: Table, rows: DataFrame) -> DataFrame:
-    """SHA-256 of the rows' canonical forms in key order, nulls first, key parts as strings, a line each.
+    """rows and content: SHA-256 of the rows' canonical forms in key order, nulls first, key parts as strings, joined by line
+    ends.
 
-    The format hashes one ordered text, so this is one group; rows are hashed first and only their digests are
-    gathered, 64 characters each.
+    The format hashes one ordered text, so this is one task whatever the size; its sort spills, and the rows are hashed as
+    they stream by, so its memory does not grow with them.
     """
-    key = F.struct(*(F.col(k).cast("string").alias(f"k{i}") for i, k in enumerate(table.key)))
-    each = rows.select(key.alias("key"), F.sha2(row_text(table, rows.columns), 256).alias("row"))
-    return each.agg(F.count(F.lit(1)).alias("rows"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", "row"))), lambda x: x["row"]), "\n"), 256).alias("content"))
+
+    def digest(batches):
+        total, n = hashlib.sha256(), 0
+        for batch in batches:
+            lines = batch.column(0).to_pylist()
+            if lines:
+                total.update((("\n" if n else "") + "\n".join(lines)).encode())
+                n += len(lines)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.hexdigest()])], names=["rows", "content"])
+
+    kinds = dict(rows.dtypes)
+    void = {"string": "''", "boolean": "false"}
+    keys = [F.when(F.col(k) == F.expr(void.get(kinds[k], "0")), F.lit("")).otherwise(F.col(k).cast("string")) if kinds[k] in ("string", "boolean", "bigint", "int", "double") else F.col(k).cast("string") for k in table.key]
+    each = rows.select(row_text(table, rows.columns).alias("row"), *(c.alias(f"k{i}") for i, c in enumerate(keys)))
+    each = each.repartition(1).sortWithinPartitions(*(F.col(f"k{i}").asc_nulls_first() for i in range(len(keys)))).select("row")
+    found = each.mapInArrow(digest, "rows long, content string")
+    nothing = hashlib.sha256().hexdigest()
+    return found.agg(F.coalesce(F.max("rows"), F.lit(0).cast("long")).alias("rows"), F.coalesce(F.max("content"), F.lit(nothing)).alias("content"))
 
 
 def row_errors(table: Table, rows: DataFrame) -> DataFrame:

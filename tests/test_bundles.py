@@ -99,3 +99,20 @@ def test_export_is_gated(spark, tmp_path):
 def test_csv(spark, tmp_path):
     (tmp_path / "r.csv").write_text('id,report\n1,"two\nlines, ""quoted"""\n')
     assert stores.report_csv(spark, str(tmp_path / "r.csv")).first()["report"] == 'two\nlines, "quoted"'
+
+
+def test_canonical_strings_and_records(spark):
+    """Strings are escaped as canonical JSON; a table without rows has the hash of nothing."""
+    import hashlib
+    import json
+
+    from pyspark.sql import functions as F
+
+    texts = ["", "a\"b", "back\\u000B\\", "".join(map(chr, range(33))), "\u2028\u2029\x7f/<é\U0001f600", "]", "[x]"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", bundles.json_text(F.col("t")).alias("j")).collect()
+    assert {r["t"]: r["j"] for r in got} == {t: json.dumps(t, ensure_ascii=False) for t in texts}
+    record = spark.createDataFrame([(None, '{"b": 1, "a": "x"}'), ("text", None)], "text string, record string").select(bundles.text_hash(F.col("text"), F.col("record")).alias("h")).collect()
+    assert [r["h"] for r in record] == [hashlib.sha256(x.encode()).hexdigest() for x in ('{"record":{"a":"x","b":1}}', "text")]
+    table = bundles.TABLES["decisions"]
+    empty = spark.createDataFrame([], table.schema)
+    assert tuple(bundles.content_hash(table, empty).first()) == (0, hashlib.sha256().hexdigest())

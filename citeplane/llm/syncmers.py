@@ -3,7 +3,9 @@
 A k-mer is a closed syncmer when the smallest of its inner s-mers (by hash) is its first or its last one. Whether it
 is chosen depends on its own characters only, so an edit changes the choice at most k - 1 characters around it and
 the chosen k-mers are anchors with positions. A fingerprint keeps the `size` anchors of smallest hash with the
-position of their first occurrence; likeness is the bottom-`size` estimate of the Jaccard index of the anchors.
+position of their first occurrence. Likeness matches anchors by position: of the `size` smallest anchors of both texts,
+the share that lies on the longest chain of shared anchors with the same order in both. Insertions and deletions shift
+a chain without breaking it; the same passages in another order do not count twice.
 
 Defined cases: null text is empty; an empty text has the empty fingerprint, which is like itself (1.0) and unlike any
 other (0.0); a text shorter than a k-mer, or without a syncmer, has one anchor made of all of it or of its smallest
@@ -14,6 +16,7 @@ other columns of the input are ignored.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,11 +68,24 @@ def anchors(text: str, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
     return got[:size], at[where[:size]]
 
 
-def likeness(a: np.ndarray, b: np.ndarray, size: int = SIZE) -> float:
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    union = np.union1d(a, b)[:size]
-    return float(np.count_nonzero(np.isin(union, a, assume_unique=True) & np.isin(union, b, assume_unique=True)) / len(union))
+def matched(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> int:
+    """How many anchors of two fingerprints match by position: the longest chain of shared ones that has the same order in
+    both texts."""
+    shared, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    tails: list[int] = []
+    for place in b[1][j][np.argsort(a[1][i], kind="stable")].tolist():
+        at = bisect_left(tails, place)
+        tails[at : at + 1] = [place]
+    return len(tails)
+
+
+def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], size: int = SIZE) -> float:
+    """Share of the `size` smallest anchors of both texts that match by position; 1.0 for two empty fingerprints."""
+    if not len(a[0]) or not len(b[0]):
+        return float(len(a[0]) == len(b[0]))
+    union = np.union1d(a[0], b[0])[:size]
+    a, b = ((h[h <= union[-1]], p[h <= union[-1]]) for h, p in (a, b))
+    return matched(a, b) / len(union)
 
 
 def written(found: tuple[np.ndarray, np.ndarray]) -> str:
@@ -93,7 +109,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n = len(own)
                 edited = own[: n - n // 4] + text[: n // 4]
                 changed = anchors(edited)
-                row = (was, n, hashlib.sha256(edited.encode()).hexdigest(), written(print_), written(changed), likeness(print_[0], changed[0]), likeness(print_[0], found[0]))
+                row = (was, n, hashlib.sha256(edited.encode()).hexdigest(), written(print_), written(changed), likeness(print_, changed), likeness(print_, found))
                 for column, value in zip(out, row):
                     column.append(value)
             last = None if ahead else (bucket, doc_id, text, found)

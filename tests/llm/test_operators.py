@@ -41,12 +41,70 @@ def test_syncmers_choice():
     other = syncmers.anchors("#" * 50 + text, 10**6)
     shared = set(other[0]) & set(hashes)
     assert len(shared) >= len(hashes) - 2  # context-free: only the seam can change
-    assert syncmers.likeness(hashes, hashes) == 1.0 and syncmers.likeness(hashes, hashes[:0]) == 0.0 and syncmers.likeness(hashes[:0], hashes[:0]) == 1.0
+    own, none = (hashes, places), (hashes[:0], places[:0])
+    assert syncmers.likeness(own, own) == 1.0 and syncmers.likeness(own, none) == 0.0 and syncmers.likeness(none, none) == 1.0
     big = "".join(random.Random(3).choice("abcdefgh ") for _ in range(20_000))
     full, few = syncmers.anchors(big, 10**6)[0], syncmers.anchors(big)[0]
     assert full[: syncmers.SIZE].tolist() == few.tolist()
 
 
+def plain_anchors(text):
+    """Every closed syncmer of the text with its first position, from the hashes of its characters one by one."""
+    mask = (1 << 64) - 1
+    base = int(syncmers._B)
+
+    def spread(x):
+        return ((x + 1) * 0xD1342543DE82EF95) & mask
+
+    def key(s):
+        h = 0
+        for c in s:
+            x = spread(ord(c))
+            h = (h * base + (x ^ (x >> 29))) & mask
+        h = (h * 0x7FB5D329728EA185) & mask
+        return h ^ (h >> 32)
+
+    inner = [key(text[i : i + syncmers.S]) for i in range(len(text) - syncmers.S + 1)]
+    found = {}
+    for i in range(len(text) - syncmers.K + 1):
+        window = inner[i : i + syncmers.WINDOW]
+        if min(window) in (window[0], window[-1]):
+            whole = np.array([(window[0] * base + window[-1]) & mask], np.uint64)
+            found.setdefault(int(syncmers.mix64(whole)[0]) >> 32, i)
+    return sorted(found.items())
+
+
+def test_syncmers_equal_brute_force():
+    rng = random.Random(8)
+    for n in (15, 16, 40, 900):
+        text = "".join(rng.choice("ab é\U0001f600") for _ in range(n))
+        want = plain_anchors(text)
+        if want:
+            assert list(zip(*(x.tolist() for x in syncmers.anchors(text, 10**6)))) == want
+
+
+def plain_chain(a, b):
+    """Longest common order of shared anchors, by trying all pairs."""
+    at = sorted((p, dict(b)[h]) for h, p in a if h in dict(b))
+    best = []
+    for i, (_, q) in enumerate(at):
+        best.append(1 + max((best[j] for j in range(i) if at[j][1] < q), default=0))
+    return max(best, default=0)
+
+
+def test_syncmers_match_by_position():
+    rng = random.Random(4)
+    say = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    one, two = say(1500), say(1500)
+    prints = [syncmers.anchors(t) for t in (one + two, two + one, one + say(40) + two, say(3000))]
+    for a in prints:
+        for b in prints:
+            pairs = [list(zip(x[0].tolist(), x[1].tolist())) for x in (a, b)]
+            assert syncmers.matched(a, b) == plain_chain(*pairs)
+    straight, swapped, longer, other = (syncmers.likeness(prints[0], x) for x in prints)
+    assert straight == 1.0 and longer > 0.9 > 0.75 > swapped > 0.3 and other == 0.0
+
+
 def test_syncmers_edges(edges, nothing):
     got = syncmers.next_likeness(edges).collect()
     assert len(got) == edges.count()

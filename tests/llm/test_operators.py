@@ -167,6 +167,21 @@ def test_quality_separates(spark):
     assert right > 0.93
 
 
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.8])
+def test_quality_prior(share):
+    """The prior of made-up sets of a known share, without any label 0."""
+    rng = np.random.default_rng(5)
+    good, bad = (rng.normal(m, 1, (6000, len(quality.NAMES))) for m in (0.8, -0.8))
+    n = int(3000 * share)
+    unlabelled = np.concatenate([good[:n], bad[: 3000 - n]])
+    found = quality.class_prior(good[3000:], unlabelled)
+    assert abs(found - share) < 0.06
+    assert quality.class_prior(good[3000:][::-1], rng.permutation(unlabelled)) == pytest.approx(found)
+    assert quality.class_prior(good[:3], bad) == quality.PRIOR
+    model = quality.fit(good[3000:], unlabelled, found)
+    assert np.mean(model.score(good[n:3000]) >= 0.5) > 0.93 and np.mean(model.score(bad[3000:]) < 0.5) > 0.93
+
+
 def test_quality_edges(spark, edges, nothing):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {s for (s,) in rows_of(quality.predict(edges, quality.train(edges, none, F.lit(True))), "score")} == {0.5}

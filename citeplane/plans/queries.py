@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import ids, spans as sp, stats, text as tx
-from ..operators import binary, cases, graph, grounding, policy, replay, rules, scores, span_scores
+from ..operators import binary, cases, graph, grounding, policy, replay, results, rules, scores, span_scores
 from ..sources import bundles, stores
 from ..sources.tables import TABLES
 
@@ -525,3 +525,70 @@ def metric_maps(t: Tables) -> DataFrame:
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: benchmark passages grounded in the documents that hold them."""
     return QUERIES["ground_exact"](spark, sf_dir)
+
+
+STAND_INS |= {
+    "result_cases": "SELECT CAST(doc_id AS VARCHAR(20)) AS case_id, doc_id, coalesce(source, 'none') AS source, n_chars AS tokens, CAST(5000 AS BIGINT) AS max_tokens FROM {documents}",
+    "result_outcomes": "SELECT CAST(doc_id AS VARCHAR(20)) AS case_id, doc_id, 'quality' AS variable, CASE WHEN doc_id % 7 = 0 THEN 'not_mentioned' WHEN quality = 1 THEN 'answered' WHEN doc_id % 11 = 0 THEN 'failed' ELSE 'insufficient_evidence' END AS status FROM {labels} UNION ALL SELECT CAST(doc_id AS VARCHAR(20)), doc_id, 'toxic', CASE WHEN doc_id % 9 = 0 THEN 'not_mentioned' WHEN toxic = 1 THEN 'answered' WHEN doc_id % 11 = 0 THEN 'failed' ELSE 'insufficient_evidence' END FROM {labels}",
+    "set_variables": "SELECT CAST(floor(p_partkey / 10) AS BIGINT) AS set_id, p_partkey % 10 AS k, concat('v', CAST(p_partkey % 10 AS VARCHAR(2))) AS variable, CASE WHEN p_partkey % 10 < 3 THEN 'mention' ELSE 'case' END AS level, p_partkey % 10 = 9 AND floor(p_partkey / 10) % 6 <> 0 AS final FROM {part}",
+    "set_inputs": "SELECT set_id, variable, concat('v', CAST(k - 1 AS VARCHAR(2))) AS input FROM {set_variables} WHERE k > 0 UNION ALL SELECT set_id, variable, 'v9' FROM {set_variables} WHERE (k = 5 AND set_id % 4 = 1) OR (k = 0 AND set_id % 4 = 3) UNION ALL SELECT set_id, variable, 'other' FROM {set_variables} WHERE k = 1 AND set_id % 4 = 2",
+}
+
+
+@query("""WITH RECURSIVE reach AS (SELECT set_id, variable AS root, input AS node FROM {set_inputs} UNION SELECT r.set_id, r.root, i.input FROM reach r JOIN {set_inputs} i ON i.set_id = r.set_id AND i.variable = r.node), f AS (SELECT set_id, bool_or(final) AS anyone FROM {set_variables} GROUP BY set_id), m AS (SELECT i.set_id, bool_or(b.variable IS NULL) AS unknown, bool_or(a.level = 'mention' AND b.level <> 'mention') AS lifted FROM {set_inputs} i JOIN {set_variables} a ON a.set_id = i.set_id AND a.variable = i.variable LEFT JOIN {set_variables} b ON b.set_id = i.set_id AND b.variable = i.input GROUP BY i.set_id), c AS (SELECT DISTINCT set_id FROM reach WHERE root = node), r AS (SELECT f.set_id, CASE WHEN NOT anyone THEN 'no_final_variable' WHEN unknown THEN 'unknown_input' WHEN lifted THEN 'mention_from_other_level' WHEN c.set_id IS NOT NULL THEN 'cycle' END AS code FROM f LEFT JOIN m ON m.set_id = f.set_id LEFT JOIN c ON c.set_id = f.set_id) SELECT set_id, code FROM r WHERE code IS NOT NULL""")
+def variable_set_errors(t: Tables) -> DataFrame:
+    return results.set_errors(t["set_variables"], t["set_inputs"])
+
+
+def _result_parts(t: Tables) -> tuple[DataFrame, ...]:
+    none = F.expr("CAST(array() AS array<string>)")
+    doc, named = F.col("doc_id"), F.concat("case_id", F.lit(":"), "variable")
+    own = t["result_cases"].select("case_id", F.lit("run1").alias("run_id"), F.array("source").alias("source_ids"), F.lit("synthetic").alias("sensitivity"), "max_tokens", "tokens", "source")
+    rows = t["result_outcomes"].join(own.select("case_id", "source"), "case_id")
+    outcomes = rows.select(
+        "case_id",
+        "variable",
+        "status",
+        F.when(F.col("status") == "failed", "budget").alias("failure_kind"),
+        F.when(doc % 13 == 0, F.array(F.lit("elsewhere"))).when(doc % 5 == 0, none).otherwise(F.array("source")).alias("reviewed"),
+        F.when((doc % 19 == 0) & (F.col("variable") == "toxic"), F.array(F.concat(F.lit("lost"), "case_id"))).otherwise(F.array(F.concat(F.lit("e"), "case_id"))).alias("evidence_ids"),
+        F.when(F.col("status") == "answered", F.array(named)).otherwise(none).alias("final_claim_ids"),
+        F.lit("synthetic").alias("sensitivity"),
+        F.when((doc % 23 == 0) & (F.col("variable") == "toxic"), "run2").otherwise("run1").alias("run_id"),
+    )
+    claims = t["result_outcomes"].select("case_id", named.alias("claim_id"), "variable", F.when(doc % 17 == 0, "rejected").otherwise("proposed").alias("status"))
+    grounded = own.select("case_id", F.concat(F.lit("e"), "case_id").alias("node_id"))
+    variables = t.spark.createDataFrame([("quality", "case", True), ("toxic", "case", True), ("part", "mention", False)], "variable string, level string, final boolean")
+    return own.drop("source"), variables, outcomes, claims, grounded
+
+
+@query("""WITH o AS (SELECT *, CASE WHEN doc_id % 13 = 0 THEN 'invalid_context' WHEN status = 'not_mentioned' AND doc_id % 5 = 0 THEN 'incomplete_review' WHEN variable = 'toxic' AND doc_id % 19 = 0 THEN 'unknown_reference' WHEN status = 'answered' AND doc_id % 17 = 0 THEN 'invalid_final_claims' END AS code FROM {result_outcomes}), g AS (SELECT doc_id, coalesce(max(code) FILTER (WHERE variable = 'quality'), max(code) FILTER (WHERE variable = 'toxic')) AS code, bool_and(status = 'failed') AS said, CAST(count(*) FILTER (WHERE status = 'answered') AS BIGINT) AS n FROM o GROUP BY doc_id), r AS (SELECT c.case_id, CASE WHEN g.doc_id IS NULL THEN 'invalid_context' WHEN g.code IS NOT NULL THEN g.code WHEN c.doc_id % 23 = 0 THEN 'run_mismatch' WHEN c.tokens > c.max_tokens AND NOT g.said THEN 'budget_exceeded' ELSE 'ok' END AS code, g.n FROM {result_cases} c LEFT JOIN g ON g.doc_id = c.doc_id) SELECT case_id, code, CASE WHEN code = 'ok' THEN n END AS answered FROM r""")
+def case_results(t: Tables) -> DataFrame:
+    made, errors = results.create(*_result_parts(t))
+    good = made.select("case_id", F.lit("ok").alias("code"), F.size(F.filter("outcomes", lambda o: o["status"] == "answered")).cast("long").alias("answered"))
+    return good.unionByName(errors, allowMissingColumns=True)
+
+
+@query("""WITH good AS (SELECT case_id, doc_id FROM {result_outcomes} GROUP BY case_id, doc_id HAVING NOT bool_or(status = 'failed')), k AS (SELECT 1 AS k UNION ALL SELECT 2), log AS (SELECT case_id, 0 AS stage, 0 AS a, '' AS b, '' AS c, 'import.result' AS action, 'run1' AS target_id, CAST(NULL AS VARCHAR) AS variable FROM good UNION ALL SELECT case_id, 1, 0, concat('m', k), '', 'mention.create', concat('m', k), NULL FROM good, k WHERE (doc_id + k) % 3 <> 0 UNION ALL SELECT case_id, 1, 0, concat('m', k), concat('r', k), 'reading.create', concat('r', k), NULL FROM good, k WHERE (doc_id + k) % 3 <> 0 UNION ALL SELECT case_id, 2, 3 - k, concat('c', k), '', 'claim.create', concat('c', k), NULL FROM good, k WHERE doc_id % 17 <> 0 UNION ALL SELECT g.case_id, 3, 0, o.variable, '', 'outcome.set', NULL, o.variable FROM good g JOIN {result_outcomes} o ON o.case_id = g.case_id UNION ALL SELECT g.case_id, 4, 0, o.variable, '', 'tier.set', NULL, o.variable FROM good g JOIN {result_outcomes} o ON o.case_id = g.case_id) SELECT case_id, CAST(row_number() OVER (PARTITION BY case_id ORDER BY stage, a, b, c) AS BIGINT) AS seq, action, target_id, variable FROM log""")
+def import_log(t: Tables) -> DataFrame:
+    made = t["result_outcomes"].groupBy("case_id", "doc_id").agg(F.collect_list(F.struct("variable", "status")).alias("outcomes")).withColumn("run_id", F.lit("run1"))
+    each = made.select("case_id", "doc_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("k"))
+    named = lambda letter: F.concat(F.lit(letter), F.col("k").cast("string"))
+    mentions = each.select("case_id", named("m").alias("mention_id"))
+    readings = each.select("case_id", named("m").alias("mention_id"), named("r").alias("reading_id"), F.when((F.col("doc_id") + F.col("k")) % 3 == 0, "rejected").otherwise("proposed").alias("status"))
+    claims = each.select("case_id", named("c").alias("claim_id"), (3 - F.col("k")).alias("rank"), F.when(F.col("doc_id") % 17 == 0, "rejected").otherwise("proposed").alias("status"))
+    return results.import_events(made.drop("doc_id"), mentions, readings, claims, "tool:importer")[0].select("case_id", "seq", "action", "target_id", "variable")
+
+
+@query("SELECT CAST(l_orderkey AS VARCHAR(20)) AS mention_id, concat(CAST(l_orderkey AS VARCHAR(20)), '-', CAST(l_linenumber AS VARCHAR(4))) AS reading_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY concat(CAST(l_orderkey AS VARCHAR(20)), '-', CAST(l_linenumber AS VARCHAR(4)))) AS BIGINT) AS place FROM {lineitem} WHERE l_orderkey IN (SELECT o_orderkey FROM {orders} WHERE o_orderstatus <> 'F')")
+def mention_readings(t: Tables) -> DataFrame:
+    key = F.col("o_orderkey").cast("string").alias("mention_id")
+    mentions = t["orders"].select(F.lit("").alias("case_id"), key, "o_orderstatus")
+    readings = t["lineitem"].select(F.lit("").alias("case_id"), F.col("l_orderkey").cast("string").alias("mention_id"), F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("reading_id"))
+    found = results.readings_of(mentions.where("o_orderstatus <> 'F'"), mentions, readings)[0]
+    return found.select("mention_id", "reading_id", F.col("place").cast("long").alias("place"))
+
+
+@query("SELECT concat('tier.', tier) AS tag, CAST(count(*) AS VARCHAR) AS value FROM {references_} GROUP BY tier UNION ALL SELECT 'examples', CAST(count(*) AS VARCHAR) FROM {eligible} UNION ALL SELECT 'variable_set', 'notes' UNION ALL SELECT 'variable_set_version', '1' UNION ALL SELECT 'variable_set_ref', 'none'")
+def dataset_tags(t: Tables) -> DataFrame:
+    return results.dataset_tags(t["eligible"], t["references_"], "notes", "1", "none")

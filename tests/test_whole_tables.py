@@ -95,6 +95,11 @@ def test_all_innermost_sections(spark, tmp_path):
     assert {r["mark_id"]: r["section_category"] for r in QUERIES["section_innermost"](spark, str(tmp_path)).collect()} == innermost
 
 
+def test_all_required_sections(spark, tmp_path):
+    _, outside = section_bounds(spark, tmp_path)
+    assert {r["claim_id"] for r in QUERIES["section_required"](spark, str(tmp_path)).collect()} == outside
+
+
 def test_all_orders_support(spark, duck):
     above = {f"n{n}": f"r{r}" for n, r in rows_of(duck, "SELECT n_nationkey, n_regionkey FROM nation")}
     above |= {f"c{c}": f"n{n}" for c, n in rows_of(duck, "SELECT c_custkey, c_nationkey FROM customer") if c % 17}

@@ -44,12 +44,16 @@ PATTERNS = {
 #: What a text must hold for its pattern to be tried.
 GUARDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]"}
 _KEY = "[A-Za-z0-9+/_=-]"
+#: What follows the local part of an address: the host's first name, and each further one.
+_AT = rf"(?:@|\(at\)|\[at\]|(?<= )at(?= )) ?{_HOST}{{1,64}}+"
+_DOT = rf"(?: ?(?:\.|\(dot\)|\[dot\]|(?<= )dot(?= )) ?{_HOST}{{2,64}}+)"
 GENERATORS = (
-    rf"{_LOCAL}{{1,64}}+ ?(?:@|\(at\)|\[at\]|(?<= )at(?= )) ?{_HOST}{{1,64}}+(?: ?(?:\.|\(dot\)|\[dot\]|(?<= )dot(?= )) ?{_HOST}{{2,64}}+)++",
+    rf"{_LOCAL}{{1,64}}+ ?{_AT}{_DOT}++",
     r"\+?\(?[0-9](?:[0-9 ().-]|\[\.\]){6,30}[0-9]",
     rf"(?<!{_KEY}){_KEY}{{16,128}}+(?!{_KEY})",
 )
-GENERATOR_GUARDS = (r"@|(?:\(at\)|\[at\]| at )[^\n]{1,70}?(?:\(dot\)|\[dot\]| dot )", r"[0-9][0-9 ().\[\]-]{6}", rf"{_KEY}{{16}}")
+#: Each is a part of what its generator matches, so that no candidate is left out.
+GENERATOR_GUARDS = (_AT + _DOT, r"[0-9][0-9 ().\[\]-]{6}", rf"{_KEY}{{16}}")
 #: Generator of each kind's candidates.
 GENERATOR_OF = (0, 1, 1, 1, 2)
 CUES = r"(?i)\b(?:tel|phone|call|fax|mobile|mail|e-mail|contact|write|card|account|visa|ip|host|address|reach)\b"

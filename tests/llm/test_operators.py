@@ -325,6 +325,19 @@ def test_pii_rules(spark):
         assert got[i] == ",".join(base_spans(t)), t[:80]
 
 
+def test_pii_candidates_of_every_text(spark):
+    """No text is passed over that a generator matches, whatever its spelling of an address."""
+    rng = random.Random(17)
+    bits = ["bob", "@", "(at)", "[at]", " at ", "dot", " dot ", "(dot)", "[dot]", ".", " ", "\n", "mail.example", "12", "255", "+", "(", ")", "-", "[.]", "1234", "é", "\U0001f600", "sk_", "A" * 16, "=", "x" * 70]
+    texts = ["mail bob(at)example.com now", "bob [at] example.com", "bob at mail.example", "bob at " + "h" * 64 + " dot " + "i" * 64 + " dot org"]
+    texts += ["".join(rng.choice(bits) for _ in range(rng.randrange(3, 16))) for _ in range(3000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = dict(rows_of(df.select("doc_id", F.transform(pii.candidates(F.col("text")), lambda c: F.struct(c["generator"], c["s"], c["e"])).alias("c")), "doc_id", "c"))
+    for i, t in enumerate(texts):
+        assert [tuple(c) for c in got[i]] == [(g, *m.span()) for g, pattern in enumerate(pii.GENERATORS) for m in re.finditer(pattern, t)], t
+    assert all(got[i] for i in range(4))
+
+
 def test_pii_digests_and_redaction(edges, nothing):
     texts = {r["doc_id"]: r["text"] or "" for r in edges.collect()}
     found = pii.find(edges, ("doc_id", "text"))

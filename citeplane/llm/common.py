@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -76,8 +77,20 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Gives freed memory back to the system, where the C library can.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Gives back the memory that Arrow and the C library hold but no longer use: workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Each batch in pieces of about `most` bytes of text, so that memory follows the piece and not the batch."""
+    """Each batch in pieces of about `most` bytes of text, so that memory follows the piece and not the batch; after each
+    batch unused memory is given back."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -86,6 +99,7 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = SL
         edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(edges, edges[1:]):
             yield batch.slice(a, b - a)
+        release()
 
 
 def texts_of(batch: pa.RecordBatch, text: str = "text") -> list[str]:

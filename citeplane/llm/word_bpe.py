@@ -5,8 +5,8 @@ runs), and each word becomes byte symbols of which the last carries the word end
 together: greedy longest match proposes tokens for all of them in lockstep over a trie, the compatibility of every
 adjacent pair is checked in one vectorised pass, and only what fails is merged exactly: a word, or in a word of more than
 LONG bytes, which is proposed in parts of so many, the tokens around a failing pair, more of them while a pair at their
-edge fails. Results are kept in a bounded cache, by the text between two spaces or line ends, which no word crosses and
-which normalisation does not join. Special tokens are found in that text before anything else.
+edge fails. Results are kept by the text between two spaces or line ends, which no word crosses and which normalisation
+does not join, in a cache bounded by their number and length. Special tokens are found in that text before anything else.
 
 Letters and numbers are those of Unicode 16, by which the vocabulary's own library goes; younger ones that a newer regex
 module knows count as unassigned.
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 from .bpe_rules import Rules, Trie
 from .common import slices, texts_of
 
-LONG, CACHE = 48, 400_000
+LONG, CACHE, KEPT = 48, 100_000, 64
 #: The word pattern of the vocabulary.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 #: Letters and numbers that Unicode 16 added, first and last of each run.
@@ -200,16 +200,17 @@ class Tokenizer:
             out += [self.special[part]] if part in self.special else words_of(normal(part))
         return out
 
-    def learn(self, pieces: list[str]) -> None:
-        """Encodes pieces of text that hold no space or line end into the cache."""
+    def learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """Encodes pieces of text that hold no space or line end."""
         cut = [self._cut(p) for p in pieces]
         known = self.words(list(set().union(*cut).difference(self.special.values())))
         known |= {i: np.int32(i).tobytes() for i in self.special.values()}
         get = known.__getitem__
-        self.cache.update((p, get(words[0]) if len(words) == 1 else b"".join(map(get, words))) for p, words in zip(pieces, cut))
+        return {p: get(words[0]) if len(words) == 1 else b"".join(map(get, words)) for p, words in zip(pieces, cut)}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Token ids of each text. No word crosses a space or a line end, so the text between them is looked up whole."""
+        """Token ids of each text. No word crosses a space or a line end, so the text between them is looked up whole; what
+        is longer than KEPT is forgotten again."""
         cut = [t.replace("\n", " ").split(" ") for t in texts]
         all_ = set().union(*cut)
         fresh = all_.difference(self.cache)
@@ -217,9 +218,13 @@ class Tokenizer:
             self.cache.clear()
             fresh = all_
         if fresh:
-            self.learn(list(fresh))
+            self.cache |= self.learn(list(fresh))
         get = self.cache.__getitem__
-        return [np.frombuffer(b"".join(map(get, pieces)), np.int32) for pieces in cut]
+        out = [np.frombuffer(b"".join(map(get, pieces)), np.int32) for pieces in cut]
+        for piece in fresh:
+            if len(piece) > KEPT:
+                del self.cache[piece]
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         """The tokens' strings with spaces between them: the vocabulary names no decoder."""
@@ -235,19 +240,21 @@ def tokenizer(path: str) -> Tokenizer:
     return _LOADED[path]
 
 
-def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns with ids, the tokens of the text, and decoded, the text they decode to."""
+def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), decoded: bool = True) -> DataFrame:
+    """The kept columns with ids, the tokens of the text, and, if asked for, decoded, the text they decode to."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(path)
-        for batch in slices(batches, most=2 << 20):
+        for batch in slices(batches, most=1 << 20):
             ids = own.encode(texts_of(batch))
             ends = pa.array(np.cumsum([0, *map(len, ids)]).astype(np.int32))
-            flat = pa.array(np.concatenate(ids))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.ListArray.from_arrays(ends, flat), pa.array(map(own.decode, ids), pa.string())], names=[*keep, "ids", "decoded"])
+            out = {c: batch.column(c) for c in keep} | {"ids": pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids)))}
+            if decoded:
+                out["decoded"] = pa.array(map(own.decode, ids), pa.string())
+            yield pa.RecordBatch.from_pydict(out)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*dict.fromkeys((*keep, "text"))).mapInArrow(rows, f"{fields}, ids array<int>, decoded string")
+    return docs.select(*dict.fromkeys((*keep, "text"))).mapInArrow(rows, f"{fields}, ids array<int>" + ", decoded string" * decoded)
 
 
 def digests(encoded: DataFrame) -> DataFrame:

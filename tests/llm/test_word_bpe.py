@@ -35,3 +35,20 @@ def test_mixed_and_long():
     texts += ["ab" * 40_000, "".join(rng.choice("日本語中文字的一是不了人") for _ in range(20_000))]
     for text, got in zip(texts, own.encode(texts)):
         assert library.encode(text, add_special_tokens=False).ids == got.tolist(), ascii(text[:80])
+
+
+def test_memory_of_a_worker(spark):
+    """The cache forgets texts without spaces and stays bounded; the decoded text is made only where it is asked for."""
+    library, own = both()
+    texts = ["plain words " + "x" * 5000 + " " + "ab" * 40, "", "x" * 5000 + "\nplain"]
+    for _ in range(2):
+        for text, got in zip(texts, own.encode(texts)):
+            assert library.encode(text, add_special_tokens=False).ids == got.tolist()
+        assert set(own.cache) == {"plain", "words", ""}
+    for i in range(12):
+        own.encode([" ".join(f"w{i * 20_000 + j}" for j in range(20_000))])
+        assert len(own.cache) <= 100_000
+    docs = spark.createDataFrame([(1, texts[0]), (2, None)], "doc_id long, text string")
+    path = tokenizer_path("word_bpe_49k.json")
+    short, whole = word_bpe.encode(docs, path, decoded=False), word_bpe.encode(docs, path)
+    assert short.columns == ["doc_id", "ids"] and sorted(short.collect()) == sorted(whole.select("doc_id", "ids").collect())
